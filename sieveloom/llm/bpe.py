@@ -63,3 +63,43 @@ def merge(symbols: list[str], rank) -> list[str]:
         if (h := before[i]) >= 0 and (r := rank(text[h], text[i])) is not None:
             heapq.heappush(heap, (r, h, text[h], text[i]))
     return [x for x in text if x is not None]
+
+
+class Neighbouring:
+    """Which two tokens can stand side by side in an encoding, and by that the encodings of all prefixes.
+
+    Two tokens stand together when no merge across their border comes before the merges that made
+    them. That is seen by undoing the later of the two tokens' last merges, again and again: a merge
+    across the border that ranks before the one undone would have come first (of equal ranks, the
+    left one comes first).
+    """
+
+    def __init__(self, rank, parts, most: int = 1_000_000):
+        """rank(left, right): rank of their merge or None. parts(token): (rank of its last merge, left part, right part), or None for a single symbol."""
+        self.rank, self.parts = rank, parts
+        self.stands = {}
+        self.most = most
+
+    def together(self, left: str, right: str) -> bool:
+        pair = (left, right)
+        known = self.stands.get(pair)
+        if known is None:
+            if len(self.stands) >= self.most:
+                self.stands.clear()
+            known = self.stands[pair] = self._together(left, right)
+        return known
+
+    def _together(self, left: str, right: str) -> bool:
+        limit = float("inf")
+        rank, parts = self.rank, self.parts
+        while True:
+            across = rank(left, right)
+            if across is not None and across < limit:
+                return False
+            a, b = parts(left), parts(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a[0] > b[0]:
+                limit, left = a[0], a[2]
+            else:
+                limit, right = b[0] + 0.5, b[1]

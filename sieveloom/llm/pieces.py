@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import merge
+from .bpe import Neighbouring, merge
 from .common import Remembered, blocks, table
 
 SPACE = "▁"
@@ -85,6 +85,10 @@ class Pieces:
         # No piece joins what stands before a space mark to it, or a character of `apart` to anything.
         self.units = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[^{SPACE}{apart}]+" + (f"|[{apart}]" if apart else "")).findall
         self.encoded = Remembered(self._encoded)
+        self.parts = Remembered(self._parts)
+        self.pairs = Neighbouring(self._rank, lambda t: self.parts[t] or None)
+        self.longest = max(map(len, self.score), default=1)
+        self.inner = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
 
     def normalize(self, text: str) -> tuple[str, np.ndarray | None, int]:
         """The normalised text, source byte of each normalised byte and of the end (None: the same bytes, but for space marks), source bytes skipped at the start."""
@@ -127,14 +131,47 @@ class Pieces:
     def _rank(self, left: str, right: str) -> float | None:
         return self.score.get(left + right)
 
+    def _parts(self, token: str) -> tuple[float, str, str] | tuple[()]:
+        """The last merge in the making of a piece; empty for a single character."""
+        if len(token) < 2:
+            return ()
+        halves = list(token)
+        while len(halves) > 2:
+            k = min((r, i) for i in range(len(halves) - 1) if (r := self._rank(halves[i], halves[i + 1])) is not None)[1]
+            halves[k : k + 2] = [halves[k] + halves[k + 1]]
+        return self.score[token], *halves
+
+    def segment(self, unit: str) -> list[str]:
+        """Pieces (and unknown characters) of a unit: each prefix's encoding ends in the one piece that can stand after a shorter prefix's."""
+        n, score, together, longest = len(unit), self.score, self.pairs.together, self.longest
+        if n > 1 and SPACE + SPACE in unit:  # runs of space marks have pieces of one rank
+            return merge(list(unit), self._rank)
+        last, start = [""] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            for k in range(i - longest if i > longest else 0, i):
+                piece = unit[k:i]
+                if (piece in score or k == i - 1) and (not k or together(last[k], piece)):
+                    last[i], start[i] = piece, k
+                    break
+        out, i = [], n
+        while i:
+            out.append(last[i])
+            i = start[i]
+        return out[::-1]
+
     def _encoded(self, unit: str) -> bytes:
         """Pairs of 32-bit numbers, one pair for each id of a unit: the id, and its length in normalised bytes; a character's fallback bytes carry its length on the last."""
+        inner = self.inner
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inner]
+        if cuts:  # no piece holds the two characters side by side, so nothing merges across
+            return b"".join(self.encoded[unit[a:b]] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True))
         out: list[int] = []
-        for piece in merge(list(unit), self._rank):
-            data = piece.encode("utf-8")
+        for piece in self.segment(unit):
             if piece in self.score:
-                out += self.ids[piece], len(data)
-            elif self.byte_ids is not None:
+                out += self.ids[piece], len(piece.encode("utf-8"))
+                continue
+            data = piece.encode("utf-8")
+            if self.byte_ids is not None:
                 for k, b in enumerate(data):
                     out += self.byte_ids[b], len(data) if k == len(data) - 1 else 0
             else:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PLAIN, byte_letters, merge, splitter
+from .bpe import PLAIN, Neighbouring, byte_letters, splitter
 from .common import Remembered, blocks, table
 
 _END = "</w>"
@@ -45,38 +45,42 @@ class PrefixCounter:
         self.special = re.compile("(" + "|".join(special) + ")") if special else None
         self.letters = byte_letters()
         self.narrow = splitter(PLAIN)
-        self.pairs = Remembered(self._stands, 2_000_000)
+        self.parts = {a + b: (r, a, b) for (a, b), r in self.ranks.items()}
+        self.pairs = Neighbouring(lambda a, b: self.ranks.get((a, b)), self.parts.get)
         self.count = Remembered(self._count)
 
-    def _symbols(self, token: str) -> list[str]:
-        if token.endswith(_END):
-            inner = token[: -len(_END)]
-            return [*inner[:-1], inner[-1] + _END]
-        return list(token)
-
-    def _stands(self, pair: tuple[str, str]) -> bool:
-        left, right = pair
-        return merge([*self._symbols(left), *self._symbols(right)], lambda a, b: self.ranks.get((a, b))) == [left, right]
-
     def prefixes(self, word: str) -> list[int]:
         """Tokens of each prefix of a pretoken, by bytes: the prefix of i bytes, taken as a whole word, has the count at i."""
         w = "".join(self.letters[b] for b in word.encode("utf-8"))
-        n, vocabulary, pairs = len(w), self.vocabulary, self.pairs
-        last, inner, ended = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        last, inner = self._inner(w)
+        return [0, *(self._ended(w, i, last, inner) for i in range(1, len(w) + 1))]
+
+    def _inner(self, w: str) -> tuple[list[str], list[int]]:
+        """Of each prefix without word end: its encoding's last token, and count."""
+        n, vocabulary, together, longest = len(w), self.vocabulary, self.pairs.together, self.longest
+        last, inner = [""] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for k in range(max(0, i - self.longest), i):
+            for k in range(i - longest if i > longest else 0, i):
                 token = w[k:i]
-                if not last[i] and token in vocabulary and (not k or last[k] and pairs[last[k], token]):
+                if token in vocabulary and (not k or together(last[k], token)):
                     last[i], inner[i] = token, inner[k] + 1
-                token += _END
-                if not ended[i] and token in vocabulary and (not k or last[k] and pairs[last[k], token]):
-                    ended[i] = inner[k] + 1
-                if last[i] and ended[i]:
                     break
-        return ended
+        return last, inner
+
+    def _ended(self, w: str, i: int, last: list[str], inner: list[int]) -> int:
+        """Count at i as a word's end: the one token with word end that can stand after a shorter prefix."""
+        for k in range(max(0, i - self.longest), i):
+            token = w[k:i] + _END
+            if token in self.vocabulary and (not k or self.pairs.together(last[k], token)):
+                return inner[k] + 1
+        raise ValueError(f"no encoding of {w[:i]!r}")
 
     def _count(self, word: str) -> int:
-        return self.prefixes(word)[-1]
+        w = word if word.isascii() and word.isprintable() and " " not in word else "".join(self.letters[b] for b in word.encode("utf-8"))
+        if w + _END in self.vocabulary:
+            return 1
+        last, inner = self._inner(w[:-1])
+        return self._ended(w, len(w), last, inner)
 
     def segments(self, text: str) -> list[tuple[bool, str]]:
         """(is special, text) in order."""
