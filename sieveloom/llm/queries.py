@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op10_packing
 from .pieces import op9_sentencepiece
 from .quality import op3_quality_classifier
 from .token_counts import op2_token_counts
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op7_toxicity, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op7_toxicity, op9_sentencepiece, op10_packing)}
 ORACLE: dict[str, str] = {}
