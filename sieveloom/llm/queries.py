@@ -5,8 +5,9 @@ from __future__ import annotations
 from .packing import op10_packing
 from .pieces import op9_sentencepiece
 from .quality import op3_quality_classifier
+from .rules import ORACLE_OP8, op8_quality_rules
 from .token_counts import op2_token_counts
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op7_toxicity, op9_sentencepiece, op10_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op7_toxicity, op8_quality_rules, op9_sentencepiece, op10_packing)}
+ORACLE: dict[str, str] = {"op8_quality_rules": ORACLE_OP8}
