@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE_OP4, op4_chat_formatting
 from .packing import op10_packing
 from .pieces import op9_sentencepiece
 from .quality import op3_quality_classifier
@@ -9,5 +10,5 @@ from .rules import ORACLE_OP8, op8_quality_rules
 from .token_counts import op2_token_counts
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op7_toxicity, op8_quality_rules, op9_sentencepiece, op10_packing)}
-ORACLE: dict[str, str] = {"op8_quality_rules": ORACLE_OP8}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op4_chat_formatting, op7_toxicity, op8_quality_rules, op9_sentencepiece, op10_packing)}
+ORACLE: dict[str, str] = {"op4_chat_formatting": ORACLE_OP4, "op8_quality_rules": ORACLE_OP8}
