@@ -1,0 +1,137 @@
+"""Resolution of unanswered questions: chunks, answers, merging, retries, statistics and costs."""
+
+from __future__ import annotations
+
+from ..plans.dialect import Dialect
+
+#: Questions in a chunk, with images in any question, and least confidence that isn't asked again.
+CHUNK, CHUNK_IMAGES, TRUSTED, WARNING = 25, 8, 0.90, 0.70
+# Dollars per million tokens in and out, discount of batches; the first is the default.
+PRICES = {"large": (5.0, 25.0, 0.5), "medium": (2.0, 10.0, 0.5)}
+
+
+def _unresolved(d: Dialect) -> str:
+    return "u0 as (select q_no, count(*) as n, count_if(ok) as right_ from @opt group by q_no), u as (select q_no, n, cast(row_number() over (order by q_no) as bigint) as id from u0 where right_ = 0)"
+
+
+def _answers(d: Dialect) -> str:
+    """The last answer of each id, confidence within bounds."""
+    return "l as (select id, c, cf, s, row_number() over (partition by id order by arrival desc) as back from @answers), a as (select id, c, case when cf < 0 then 0.0e0 when cf > 1 then 1.0e0 else round(cf, 2) end as cf, s from l where back = 1)"
+
+
+def _merged(d: Dialect) -> str:
+    return f"{_unresolved(d)}, {_answers(d)}, m as (select u.q_no, u.id, u.n, case when a.c between 0 and u.n - 1 then a.c else -1 end as c, case when a.c between 0 and u.n - 1 then a.cf else 0.0e0 end as cf, coalesce(a.s, false) as searched, case when a.id is null or a.c = -1 then 'missing' when a.c not between 0 and u.n - 1 then 'out_of_range' else 'ai' end as outcome from u left join a on a.id = u.id)"
+
+
+def _tier(x: str) -> str:
+    return f"case when {x} >= {TRUSTED} then 'TRUSTED' when {x} >= {WARNING} then 'WARNING' else 'MANUAL_REVIEW' end"
+
+
+def j01_merge(d: Dialect) -> str:
+    return f"with {_merged(d)} select q_no, id, c, cf, searched, outcome, {_tier('cf')} as tier from m"
+
+
+def j02_resolved(d: Dialect) -> str:
+    return "select distinct q_no from @opt o where exists (select 1 from @opt r where r.q_no = o.q_no and r.ok)"
+
+
+def w20_unresolved(d: Dialect) -> str:
+    return "select distinct q_no from @opt o where not exists (select 1 from @opt r where r.q_no = o.q_no and r.ok)"
+
+
+def w15_chunks(d: Dialect) -> str:
+    return f"with {_unresolved(d)} select q_no, id, {d.div('id - 1', str(CHUNK))} as chunk_id from u"
+
+
+def w16_chunks_with_images(d: Dialect) -> str:
+    """Chunks are small if any unresolved question has an image."""
+    return f"with {_unresolved(d)}, g as (select *, q_no % 41 = 0 as image from u), n as (select *, max(case when image then {CHUNK_IMAGES} else 0 end) over () as small from g) select q_no, id, image, case when small > 0 then {d.div('id - 1', str(CHUNK_IMAGES))} else {d.div('id - 1', str(CHUNK))} end as chunk_id from n"
+
+
+def w17_retry_chunks(d: Dialect) -> str:
+    return f"with {_merged(d)}, r as (select q_no, cast(row_number() over (order by q_no) as bigint) as retry_id from m where cf < {TRUSTED}) select q_no, retry_id, {d.div('retry_id - 1', str(CHUNK))} as chunk_id from r"
+
+
+def j03_retry_merge(d: Dialect) -> str:
+    """A second round of answers replaces the first where it is valid; otherwise the old row stays."""
+    return f"with {_merged(d)}, r as (select q_no, cast(row_number() over (order by q_no) as bigint) as retry_id from m where cf < {TRUSTED}), x as (select r.q_no, a.c, a.cf from r join a on a.id = r.retry_id) select m.q_no, case when x.c between 0 and m.n - 1 then x.c else m.c end as c, case when x.c between 0 and m.n - 1 then x.cf else m.cf end as cf from m left join x on x.q_no = m.q_no"
+
+
+def a05_merge_counts(d: Dialect) -> str:
+    return f"with {_merged(d)} select (select count(distinct q_no) from @opt) - count(*) as already, count_if(outcome = 'ai') as resolved, count_if(outcome <> 'ai') as failed, count_if(outcome = 'out_of_range') as out_of_range from m"
+
+
+def a06_recount(d: Dialect) -> str:
+    return f"with r as ({j03_retry_merge(d)}) select count_if(c <> -1) as resolved, count_if(c = -1) as failed from r"
+
+
+def a03_statistics(d: Dialect) -> str:
+    return f"with {_merged(d)} select count_if({_tier('cf')} = 'TRUSTED') as trusted, count_if({_tier('cf')} = 'WARNING') as warning, count_if({_tier('cf')} = 'MANUAL_REVIEW') as manual, round(avg(cf), 3) as mean_cf, count_if(searched) as searched from m where c <> -1"
+
+
+def v12_confidence(d: Dialect) -> str:
+    return f"with {_answers(d)} select id, c, cf from a"
+
+
+def v13_tier(d: Dialect) -> str:
+    return f"with {_answers(d)} select id, {_tier('cf')} as tier from a"
+
+
+def v14_descriptions(d: Dialect) -> str:
+    # Names of the tiers.
+    return f"with {_answers(d)}, t as (select id, {_tier('cf')} as tier from a) select id, tier, case tier when 'TRUSTED' then 'trusted' when 'WARNING' then 'check' else 'by hand' end as label from t"
+
+
+def a07_tokens(d: Dialect) -> str:
+    """Refused requests are billed, failed ones are not."""
+    return "select batch_id, cast(sum(case when kind <> 'errored' then in_tok else 0 end) as bigint) as in_tok, cast(sum(case when kind <> 'errored' then out_tok else 0 end) as bigint) as out_tok from @log group by batch_id"
+
+
+def a09_refusals(d: Dialect) -> str:
+    return "select batch_id, count_if(kind = 'refusal') as refused from @log group by batch_id"
+
+
+def a10_progress(d: Dialect) -> str:
+    return "select batch_id, case when count(*) = 0 then 0.0e0 else round(count_if(kind <> 'errored') * 1.0e0 / count(*), 6) end as share, round(0.25e0 + 0.65e0 * count_if(kind <> 'errored') / count(*), 6) as shown from @log group by batch_id"
+
+
+def j04_prices(d: Dialect) -> str:
+    """Cost of each batch at its model's price; unknown models cost as the default one."""
+    rows = " union all ".join(f"select '{m}' as model, cast({a} as double) as p_in, cast({b} as double) as p_out, cast({c} as double) as off" for m, (a, b, c) in PRICES.items())
+    default = next(iter(PRICES.values()))
+    return f"""with price as ({rows}), t as ({a07_tokens(d)}), m as (select *, case batch_id % 3 when 0 then 'large' when 1 then 'medium' else 'other' end as model from t)
+        select batch_id, m.model, round((in_tok / 1e6 * coalesce(p_in, {default[0]}e0) + out_tok / 1e6 * coalesce(p_out, {default[1]}e0)) * (1 - coalesce(off, {default[2]}e0)), 6) as cost from m left join price on price.model = m.model"""
+
+
+def r07_allowed(d: Dialect) -> str:
+    """Events of users that are allowed."""
+    return "select batch_id, ts, kind, user_id from @log l where exists (select 1 from @customers c where c.c_custkey = l.user_id and c.c_custkey % 2 = 0)"
+
+
+def r10_latest(d: Dialect) -> str:
+    return "select user_id, ts, kind from (select user_id, ts, kind, row_number() over (partition by user_id order by ts desc, kind) as n from @log) x where n = 1"
+
+
+def r01_terminal(d: Dialect) -> str:
+    """First terminal state of each batch."""
+    return "select batch_id, min(ts) as ended from @log where kind in ('errored', 'refusal') group by batch_id"
+
+
+def k05_compact(d: Dialect) -> str:
+    return f"with {_merged(d)} select q_no, {d.json({'q': 'q_no', 'c': 'c', 'searched': 'searched'})} as json from m"
+
+
+def k13_duration(d: Dialect) -> str:
+    h, m, s = d.div("in_tok", "3600"), d.div("in_tok % 3600", "60"), "in_tok % 60"
+    t = lambda x: f"cast({x} as varchar(20))"
+    return f"with t as ({a07_tokens(d)}) select batch_id, case when {h} > 0 then concat({t(h)}, 'h ', {t(m)}, 'm ', {t(s)}, 's') when {m} > 0 then concat({t(m)}, 'm ', {t(s)}, 's') else concat({t(s)}, 's') end as shown from t"
+
+
+def v15_clean_json(d: Dialect) -> str:
+    """The JSON object within an answer: without fences, from the first brace to the last."""
+    raw = "concat('```json' , chr(10), 'note {\"id\": ', cast(id as varchar(20)), ', \"c\": ', cast(c as varchar(20)), '} end', chr(10), '```')"
+    return f"with t as (select id, arrival, {d.rep(raw, '```(json)?', '')} as x from @answers) select id, arrival, {d.ext('x', '([{].*[}])')} as json from t"
+
+
+def a08_tool_uses(d: Dialect) -> str:
+    return "select id, count_if(s) as uses from @answers group by id"
