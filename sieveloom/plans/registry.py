@@ -74,6 +74,3 @@ def _flagship(d):
 
 FLAGSHIP = Plan(_flagship, lines=v.CLASSIC)
 PLANS["e1_flagship"] = FLAGSHIP
-
-#: Queries that SQL can't express.
-EXTRA: dict = {}
