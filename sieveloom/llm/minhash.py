@@ -12,9 +12,10 @@ weights are rounded to LEVELS steps, so that ln a is looked up. Classes that agr
 candidate pairs are verified exactly by weighted Jaccard similarity.
 
 No bucket is expanded into all its pairs: in each round every class of a bucket that is not yet linked
-to the bucket's centre is compared with it, the centre being the smallest id first and other members by
-hash in later rounds; then links are contracted to components, and in the end all pairs of
-classes that still share a bucket across components are compared, so that no link between components is lost.
+to the bucket's centre is compared with it, the centres being the bucket's classes that meet most others
+over all bands, one after the other; then links are contracted to components, and in the end all pairs of
+classes that still share a bucket across components are compared, so that no link between components is lost,
+except those whose shingles that no other has keep them apart (an exact bound).
 
 Cases: null texts and texts without words are groups of their own, except that equal texts without
 words (not empty ones) are copies; texts of fewer than five words have one shingle of all their words;
@@ -37,7 +38,7 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 14, 4
 DRAWS, LEVELS, STEP = 16384, 32, 1.2
 DEPTH, COUNTERS, CHUNK, PARTS = 2, 1 << 17, 1 << 13, 64
-ROUNDS = 3
+ROUNDS = 2
 
 _WORD = re.compile(r"[^\W_]+").findall
 
@@ -211,6 +212,38 @@ def verified(pairs: DataFrame, texts: DataFrame, signer, least: float) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def shared_weights(texts: DataFrame, signer) -> DataFrame:
+    """(class, total, shared): the weight of each text's shingles, and of those that another of the texts has too.
+
+    A class sends its shingles in packed rows, one to each part of the hashes; the number of parts follows the
+    number of classes.
+    """
+    parts = max(16, texts.count() // 1000)
+
+    def deal(batches):
+        s = signer.value
+        for ids, xs in (x for batch in batches for x in blocks([batch], 1)):
+            for k, x in zip(ids, xs, strict=True):
+                found, weights = s.shingles(word_hashes(x))
+                at = (found >> np.uint64(32)) % np.uint64(parts)
+                order = np.argsort(at, kind="stable")
+                cuts = np.searchsorted(at[order], np.arange(parts + 1))
+                rows = [(p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([k] * len(rows), pa.int64()), pa.array([found[i].tobytes() for _, i in rows], pa.binary()), pa.array([weights[i].tobytes() for _, i in rows], pa.binary())], ["part", "class", "found", "weights"])
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.select(["class", "found", "weights"]).to_pylist()]
+        found = [np.frombuffer(r["found"], np.uint64) for r in rows]
+        _, at, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        weights = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in rows]).astype(np.float64)
+        owner = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+        total, shared = np.bincount(owner, weights, len(rows)), np.bincount(owner, weights * (counts[at] > 1), len(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([r["class"] for r in rows], pa.int64()), pa.array(total), pa.array(shared)], ["class", "total", "shared"])
+
+    dealt = texts.select("id", "text").mapInArrow(deal, "part int, class long, found binary, weights binary")
+    return dealt.groupBy("part").applyInArrow(count, "class long, total double, shared double").groupBy("class").agg(F.sum("total").alias("total"), F.sum("shared").alias("shared"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """(key, class_id, kept): class_id is the smallest key of the document's group."""
     spark = docs.sparkSession
@@ -220,27 +253,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     classes = written(signed.where("copy is not null").groupBy("copy").agg(F.min("id").alias("class"), F.first("bands").alias("bands")))
     members = signed.where("copy is not null").join(classes.select("copy", "class"), "copy").select("id", "class")
     cells = classes.where("bands is not null").select("class", F.posexplode("bands").alias("band", "hash"))
-    busy = cells.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    cells = written(cells.join(busy, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "class"))
+    busy = cells.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    cells = written(cells.join(busy, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "class", "n"))
+    # How many classes meet a class over all bands: the text that its copies were made from meets most of them.
+    met = cells.groupBy("class").agg(F.sum("n").alias("met"))
+    cells = written(cells.drop("n").join(met, "class").select("bucket", "class", F.struct("met", (-F.col("class")).alias("first")).alias("rank")))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(cells.select(F.col("class").alias("id")).distinct(), "id").dropDuplicates(["id"])
     texts = written(texts)
     links = written(spark.createDataFrame([], "a long, b long"))
     tried = links
-    roots = None
+    roots, before = None, None
     for k in range(ROUNDS + 1):
         placed = cells if roots is None else cells.join(roots.withColumnRenamed("node", "class"), "class", "left")
-        placed = placed.select("bucket", "class", (F.col("class") if roots is None else F.coalesce("component", "class")).alias("root"))
+        placed = placed.select("bucket", "class", "rank", (F.col("class") if roots is None else F.coalesce("component", "class")).alias("root"))
         if k:  # buckets whose classes are all linked are done
             split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
             placed = written(placed.join(split, "bucket"))
             if placed.isEmpty():
                 break
         if k < ROUNDS:
-            order = F.col("class") if k == 0 else F.xxhash64("class", F.lit(k), "bucket")
-            centre = placed.groupBy("bucket").agg(F.min_by(F.struct("class", "root"), order).alias("c"))
+            left = placed if before is None else placed.join(before, "bucket").where("rank < last").drop("last")
+            centre = written(left.groupBy("bucket").agg(F.max_by(F.struct("class", "root"), "rank").alias("c"), F.max("rank").alias("last")))
+            before = centre.select("bucket", "last")
             pairs = placed.join(centre, "bucket").where("root <> c.root").select(F.col("c.class").alias("x"), F.col("class").alias("y"))
         else:
-            pairs = placed.alias("p").join(placed.alias("q"), F.expr("p.bucket = q.bucket and p.root < q.root")).select(F.col("p.class").alias("x"), F.col("q.class").alias("y"))
+            # What no other text has is never shared, so similarity is at most s / (total + total' - s) with s the lesser
+            # of the two shared weights: pairs that this keeps below the bound need no comparison.
+            rest = texts.join(placed.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
+            heavy = written(shared_weights(rest, signer)).where(F.col("shared") >= (least - 1e-3) * F.col("total"))
+            placed = placed.join(heavy, "class")
+            bound = f"p.total + q.total <= {(1 + least) / least + 1e-3} * least(p.shared, q.shared)"
+            pairs = placed.alias("p").join(placed.alias("q"), F.expr(f"p.bucket = q.bucket and p.root < q.root and {bound}")).select(F.col("p.class").alias("x"), F.col("q.class").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if k:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
