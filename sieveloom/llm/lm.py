@@ -7,7 +7,8 @@ history scores count(n-gram) / count(history) if the n-gram was seen at least CU
 its score after the shorter history, down to count(word) / words (Brants et al. 2007).
 
 A block sends each n-gram once, so an n-gram that holds a third of all places is as many rows as there are
-blocks; the number of parts follows the number of blocks. N-grams are told apart by 64-bit hashes.
+blocks; the number of parts follows the number of blocks. N-grams are told apart by 48 bits of their hashes
+and their part, 52 bits at least, and more as the input grows.
 
 Cases: words are runs of characters other than space, tab, line feed, vertical tab, form feed and
 carriage return; a null text or one without words has no words and a score of 0 and a null mean; repeated rows are
@@ -45,12 +46,37 @@ def _hash(word: str) -> int:
 _hashes = Remembered(_hash)
 
 
+def _packed(array: np.ndarray) -> bytes:
+    """Compressed by planes: all first bytes, all second bytes and so on."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(array.view(np.uint8).reshape(-1, array.itemsize).T.tobytes())
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _binary(*arrays: np.ndarray) -> list[pa.Array]:
     return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Blocks: (block, keys int64[], sizes int64[] words of each document, vocabulary uint64[] hashes, words int32[] places in the vocabulary)."""
+    """Blocks: (block, keys int64[], sizes int64[] words of each document, vocabulary uint64[] hashes, words packed int32[] places in the vocabulary, n_words)."""
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -58,11 +84,14 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
             words = [_WORD(x) if x else [] for x in texts]
             sizes = np.array([len(w) for w in words], dtype=np.int64)
             hashes = np.fromiter((h for w in words for h in map(_hashes.__getitem__, w)), dtype=np.uint64, count=int(sizes.sum()))
-            vocabulary, at = np.unique(hashes, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), *_binary(np.array(keys, dtype=np.int64), sizes, vocabulary, at.astype(np.int32))], ["block", "keys", "sizes", "vocabulary", "words"])
+            vocabulary, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")  # frequent words have small numbers
+            rank = np.empty(len(order), dtype=np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), *_binary(np.array(keys, dtype=np.int64), sizes, vocabulary[order]), pa.array([_packed(rank[at])], pa.binary()), pa.array([len(at)], pa.int64())], ["block", "keys", "sizes", "vocabulary", "words", "n_words"])
             k += 1
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "block long, keys binary, sizes binary, vocabulary binary, words binary")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "block long, keys binary, sizes binary, vocabulary binary, words binary, n_words long")
 
 
 class Block:
@@ -71,7 +100,7 @@ class Block:
     def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes):
         self.sizes = np.frombuffer(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
-        word = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(words, np.int32)]
+        word = np.frombuffer(vocabulary, np.uint64)[_unpacked(words, np.int32)]
         self.place = np.arange(len(word)) - np.repeat(self.ends - self.sizes, self.sizes)
         self.hashes = [word]
         for _ in range(ORDER - 1):
@@ -92,16 +121,16 @@ def _requests(parts: int):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                block, _, sizes, vocabulary, words = (c[k].as_py() for c in batch.columns)
+                block, _, sizes, vocabulary, words = (c[k].as_py() for c in batch.columns[:5])
                 b = Block(sizes, vocabulary, words)
                 for n in range(1, ORDER + 1):
                     found, _, counts = b.distinct(n)
-                    at = (found >> np.uint64(40)) % np.uint64(parts)
+                    at = found % np.uint64(parts)
                     order = np.argsort(at, kind="stable")
                     cuts = np.searchsorted(at[order], np.arange(parts + 1))
                     rows = [(p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([n] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([found[i].tobytes() for _, i in rows], pa.binary()), pa.array([counts[i].astype(np.int32).tobytes() for _, i in rows], pa.binary())],
+                        [pa.array([n] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([_short(found[i]) for _, i in rows], pa.binary()), pa.array([counts[i].astype(np.int32).tobytes() for _, i in rows], pa.binary())],
                         ["n", "part", "block", "hashes", "counts"],
                     )
 
@@ -111,12 +140,12 @@ def _requests(parts: int):
 def _joined(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A part of the count table of order n, built from the counts of all blocks and joined to their n-grams."""
     rows = [r for batch in batches for r in batch.select(["n", "part", "block", "hashes", "counts"]).to_pylist()]
-    hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+    hashes = [_long(r["hashes"]) for r in rows]
     found, at = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows]), minlength=len(found)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, hashes)])
     for k, r in enumerate(rows):
-        yield pa.RecordBatch.from_arrays([pa.array([r["n"]], pa.int32()), pa.array([r["part"]], pa.int32()), pa.array([r["block"]], pa.int64()), pa.array([total[at[cuts[k] : cuts[k + 1]]].tobytes()], pa.binary())], ["n", "part", "block", "totals"])
+        yield pa.RecordBatch.from_arrays([pa.array([r["n"]], pa.int32()), pa.array([r["part"]], pa.int32()), pa.array([r["block"]], pa.int64()), pa.array([_packed(total[at[cuts[k] : cuts[k + 1]]])], pa.binary())], ["n", "part", "block", "totals"])
 
 
 def _scored(parts: int, words: int):
@@ -125,11 +154,11 @@ def _scored(parts: int, words: int):
             return pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         row = left.to_pylist()[0]
         b = Block(row["sizes"], row["vocabulary"], row["words"])
-        replies = {(r["n"], r["part"]): np.frombuffer(r["totals"], np.int64) for r in right.to_pylist()}
+        replies = {(r["n"], r["part"]): _unpacked(r["totals"], np.int64) for r in right.to_pylist()}
         counts = []
         for n in range(1, ORDER + 1):
             found, at, _ = b.distinct(n)
-            part = (found >> np.uint64(40)) % np.uint64(parts)
+            part = found % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             totals = np.zeros(len(found), dtype=np.int64)
             if len(found):
@@ -156,11 +185,10 @@ def _scored(parts: int, words: int):
 def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, score): score is the sum of natural logarithms over the document's words."""
     cut = written(exploded(docs, key, text))
-    size = F.expr("length(words) div 4")
-    n, words = cut.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n, words = cut.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     parts = max(16, 1 << max(0, n - 1).bit_length())
     replies = cut.mapInArrow(_requests(parts), "n int, part int, block long, hashes binary, counts binary").groupBy("part", "n").applyInArrow(_joined, "n int, part int, block long, totals binary")
-    out = cut.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(parts, words), "key long, n_words long, score double")
+    out = cut.drop("n_words").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(parts, words), "key long, n_words long, score double")
     return out.withColumnRenamed("key", key)
 
 
