@@ -66,7 +66,7 @@ def p02_highlights(d: Dialect) -> str:
 
 def p09_image_places(d: Dialect) -> str:
     """Each image goes before the first row below it, or to the end."""
-    return f"with {_rows(d)}, lines_ as (select page, row_no, min(y0) as top from r group by page, row_no), images as (select page, seq, y0 as y from g where seq % 21 = 0) select i.page, i.seq, cast(min(l.row_no) as bigint) as before_row from images i left join lines_ l on l.page = i.page and l.top > i.y and l.top > 0 group by i.page, i.seq"
+    return f"with {_rows(d)}, lines_ as (select page, row_no, min(y0) as top from r group by page, row_no), images as (select page, seq, y0 as y from g where seq % 21 = 0) select i.page, i.seq, cast(coalesce(min(l.row_no), -1) as bigint) as before_row from images i left join lines_ l on l.page = i.page and l.top > i.y and l.top > 0 group by i.page, i.seq"
 
 
 def a15_span_statistics(d: Dialect) -> str:

@@ -185,7 +185,7 @@ def t05_to_lines(d: Dialect) -> str:
 
 def t07_first_valid_row(d: Dialect) -> str:
     filled = " + ".join(f"case when {c} <> '' then 1 else 0 end" for c in ("c0", "c1", "c2", "c3", "c4"))
-    return f"select sheet, min(case when {filled} >= 3 then row_no end) as first_row from @cells group by sheet"
+    return f"select sheet, coalesce(min(case when {filled} >= 3 then row_no end), -1) as first_row from @cells group by sheet"
 
 
 def t08_trailing_trim(d: Dialect) -> str:
