@@ -54,20 +54,21 @@ def cells(classes: DataFrame, least: float) -> DataFrame:
     def run(batches):
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            vectors = batch.column(2)
+            vectors, rows, blocks, xs, ys = batch.column(2), [], [], [], []
             for k in range(batch.num_rows):
                 v = np.asarray(vectors[k].values, dtype=np.float64)
                 m = len(v)
                 if m not in turns:
                     turns[m] = rotation(m)
                 r = turns[m] @ (v / np.linalg.norm(v))
-                spans = _blocks(m)
-                width = [max(1e-9, np.sqrt(_budget(m, a, b, least))) for a, b in spans]
-                x = [int(np.floor(r[a] / w)) for (a, _), w in zip(spans, width, strict=True)]
-                y = [int(np.floor(r[a + 1] / w)) if b - a > 1 else 0 for (a, b), w in zip(spans, width, strict=True)]
-                take = batch.slice(k, 1)
-                rows = pa.array([0] * len(spans))
-                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in take.columns), pa.array(range(len(spans)), pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["cls", "label", "vector", "n", "block", "x", "y"])
+                for j, (a, b) in enumerate(_blocks(m)):
+                    width = np.sqrt(_budget(m, a, b, least))
+                    rows.append(k)
+                    blocks.append(j)
+                    xs.append(int(np.floor(r[a] / width)))
+                    ys.append(int(np.floor(r[a + 1] / width)) if b - a > 1 else 0)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), *(pa.array(v, pa.int32()) for v in (blocks, xs, ys))], ["cls", "label", "vector", "n", "block", "x", "y"])
 
     return classes.select("cls", "label", "vector", "n").mapInArrow(run, "cls long, label string, vector array<double>, n long, block int, x int, y int")
 
