@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import clean, export, geometry, layout, parse, resolve, spans, validate
+from ..operators import clean, export, geometry, layout, parse, pipeline, resolve, spans, validate
 from . import views as v
 from .dialect import Plan
 
@@ -77,6 +77,12 @@ for _names, _inputs in (
     for _name in _names:
         PLANS[_name] = Plan(getattr(spans, _name), **_inputs)
 
+PLANS["c00_clean"] = Plan(pipeline.c00_clean, lines=v.DASH)
+PLANS["g00_route"] = Plan(pipeline.g00_route, lines=v.MIXED)
+PLANS["e1_documents"] = Plan(pipeline.e1_documents, lines=v.MIXED)
+PLANS["k06_full_json"] = Plan(pipeline.k06_full_json, opt=v.OPT, answers=v.ANSWERS)
+PLANS["r12_progress"] = Plan(pipeline.r12_progress, log=v.LOG)
+
 
 def _flagship(d):
     """Detected formats, questions and options of each document's marked lines."""

@@ -119,3 +119,11 @@ GLYPHS = Plan(glyphs, embeddings="embeddings")
 RUNS = Plan(runs, conversations="conversations")
 CELLS = Plan(cells, opt=OPT)
 LOG = Plan(batch_log, events="events")
+
+
+def mixed_lines(d: Dialect) -> str:
+    """Documents of all formats."""
+    return "select doc_id, line_no, text from @a union all select doc_id + 100, line_no, text from @b union all select doc_id + 200, line_no, text from @c union all select doc_id + 300, line_no, text from @d"
+
+
+MIXED = Plan(mixed_lines, a=CLASSIC, b=ABC, c=BLOCKS, d=GIFT)
