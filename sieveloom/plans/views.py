@@ -99,7 +99,7 @@ def glyphs(d: Dialect) -> str:
 def runs(d: Dialect) -> str:
     """Styled runs of paragraphs."""
     x = d.each("@conversations", "conv_id, turn", d.words("text"), "run", "w")
-    return f"select conv_id as doc_id, turn as para, run, w as text, (turn + run) % 3 = 0 as bold, cast((conv_id * 37 + run * 61) % 256 as bigint) as r, cast((conv_id * 11 + run * 91) % 256 as bigint) as g, cast(run * 29 % 256 as bigint) as b, run % 17 = 5 as highlight from ({x}) x where run <= 12"
+    return f"select conv_id as doc_id, turn as para, run, w as text, (turn + run) % 3 = 0 as bold, cast((conv_id * 37 + run * 61) % 256 as bigint) as r, cast((conv_id * 11 + run * 91) % 256 as bigint) as g, cast(run * 29 % 256 as bigint) as b, run % 17 = 5 as highlight from ({x}) x"
 
 
 def cells(d: Dialect) -> str:

@@ -3,7 +3,8 @@
 import pytest
 
 from sieveloom.functions.text import join_lines
-from sieveloom.operators import clean, layout, parse, validate
+from sieveloom.operators import clean, layout, parse, spans, validate
+from sieveloom.plans import views
 from sieveloom.plans.dialect import apply
 from sieveloom.sources.files import decode, docx_bytes, docx_runs
 
@@ -76,3 +77,10 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.user_id, r.ts) for r in spark.sql("select * from throttled").collect()}
     assert got == {(r.user_id, r.ts) for r in throttled_batch(events, 60.0).collect()}
+
+
+def test_paragraphs_are_whole(spark):
+    text = " ".join(f"w{k}" for k in range(1, 41))
+    runs = apply(views.runs, spark, conversations=spark.createDataFrame([(1, 0, text), (1, 1, "short one")], "conv_id long, turn long, text string"))
+    assert [r.text for r in apply(spans.j08_zip, spark, runs=runs).orderBy("n").collect()] == [text, "short one"]
+    assert [r.text for r in apply(layout.x11_bold_chunks, spark, runs=runs).where("para = 0").orderBy("chunk").collect()] == [f"w{k}" for k in range(3, 41, 3)]
