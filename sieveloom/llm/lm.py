@@ -3,8 +3,9 @@
 The n-grams of a run of documents (a block) are exploded and counted within the block; the counts go
 to parts of the n-gram tables by hash, where the counts of all blocks are added up; the totals are
 joined back to the exploded n-grams of each block; scores are summed per document. A word after its
-history scores count(n-gram) / count(history) if the n-gram was seen at least CUTOFF times, else 0.4 times
-its score after the shorter history, down to count(word) / words (Brants et al. 2007).
+history scores count(n-gram) / count(history) if the n-gram was seen at least `cutoff` times, else 0.4 times
+its score after the shorter history, down to count(word) / words (Brants et al. 2007). Histories have up to
+`order` - 1 words. The documents scored are those counted, so with a cutoff of 1 no score would back off.
 
 A block sends each n-gram once, so an n-gram that holds a third of all places is as many rows as there are
 blocks; the number of parts follows the number of blocks. N-grams are told apart by 48 bits of their hashes
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Remembered, blocks, table, written
 
+#: Defaults; op1_trigram_scoring runs with TRIGRAM.
 ORDER, CUTOFF, BACKOFF = 2, 2, 0.4
+TRIGRAM = 3
 #: Characters of a block.
 BLOCK_SIZE = 6_000_000
 
@@ -97,13 +100,13 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
 class Block:
     """N-grams of a block: their hashes at each place (order 1 at all places, order n where n - 1 words of the document stand before)."""
 
-    def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes):
+    def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, order: int):
         self.sizes = np.frombuffer(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         word = np.frombuffer(vocabulary, np.uint64)[_unpacked(words, np.int32)]
         self.place = np.arange(len(word)) - np.repeat(self.ends - self.sizes, self.sizes)
         self.hashes = [word]
-        for _ in range(ORDER - 1):
+        for _ in range(order - 1):
             longer = np.zeros(len(word), dtype=np.uint64)
             longer[1:] = (self.hashes[-1][:-1] * _MIX) ^ (word[1:] + (word[1:] << np.uint64(23)))
             longer[1:] ^= longer[1:] >> np.uint64(32)
@@ -117,13 +120,13 @@ class Block:
         return np.unique(self.hashes[n - 1][self.whole(n)], return_inverse=True, return_counts=True)
 
 
-def _requests(parts: int):
+def _requests(parts: int, longest: int):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 block, _, sizes, vocabulary, words = (c[k].as_py() for c in batch.columns[:5])
-                b = Block(sizes, vocabulary, words)
-                for n in range(1, ORDER + 1):
+                b = Block(sizes, vocabulary, words, longest)
+                for n in range(1, longest + 1):
                     found, _, counts = b.distinct(n)
                     at = found % np.uint64(parts)
                     order = np.argsort(at, kind="stable")
@@ -148,15 +151,15 @@ def _joined(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
         yield pa.RecordBatch.from_arrays([pa.array([r["n"]], pa.int32()), pa.array([r["part"]], pa.int32()), pa.array([r["block"]], pa.int64()), pa.array([_packed(total[at[cuts[k] : cuts[k + 1]]])], pa.binary())], ["n", "part", "block", "totals"])
 
 
-def _scored(parts: int, words: int):
+def _scored(parts: int, words: int, longest: int, cutoff: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         row = left.to_pylist()[0]
-        b = Block(row["sizes"], row["vocabulary"], row["words"])
+        b = Block(row["sizes"], row["vocabulary"], row["words"], longest)
         replies = {(r["n"], r["part"]): _unpacked(r["totals"], np.int64) for r in right.to_pylist()}
         counts = []
-        for n in range(1, ORDER + 1):
+        for n in range(1, longest + 1):
             found, at, _ = b.distinct(n)
             part = found % np.uint64(parts)
             order = np.argsort(part, kind="stable")
@@ -167,10 +170,10 @@ def _scored(parts: int, words: int):
             full[b.whole(n)] = totals[at]
             counts.append(full)
         score = np.log(np.maximum(counts[0], 1)) - math.log(max(1, words))
-        for n in range(2, ORDER + 1):
+        for n in range(2, longest + 1):
             history = np.ones(len(score), dtype=np.int64)
             history[1:] = counts[n - 2][:-1]
-            seen = b.whole(n) & (counts[n - 1] >= CUTOFF)
+            seen = b.whole(n) & (counts[n - 1] >= cutoff)
             shorter = np.where(b.whole(n), score + math.log(BACKOFF), score)
             score = np.where(seen, np.log(np.maximum(counts[n - 1], 1)) - np.log(np.maximum(history, 1)), shorter)
         sums = np.zeros(len(b.sizes))
@@ -182,21 +185,28 @@ def _scored(parts: int, words: int):
     return run
 
 
-def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, score): score is the sum of natural logarithms over the document's words."""
+def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, cutoff: int = CUTOFF) -> DataFrame:
+    """(key, n_words, score): score is the sum of natural logarithms over the document's words, under n-grams of up to `order` words."""
     cut = written(exploded(docs, key, text))
     n, words = cut.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     parts = max(16, 1 << max(0, n - 1).bit_length())
-    replies = cut.mapInArrow(_requests(parts), "n int, part int, block long, hashes binary, counts binary").groupBy("part", "n").applyInArrow(_joined, "n int, part int, block long, totals binary")
-    out = cut.drop("n_words").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(parts, words), "key long, n_words long, score double")
+    replies = cut.mapInArrow(_requests(parts, order), "n int, part int, block long, hashes binary, counts binary").groupBy("part", "n").applyInArrow(_joined, "n int, part int, block long, totals binary")
+    out = cut.drop("n_words").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(parts, words, order, cutoff), "key long, n_words long, score double")
     return out.withColumnRenamed("key", key)
 
 
-def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = backoff_scores(table(spark, sf_dir, "documents"))
+def _rounded(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("mean_score"))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(backoff_scores(table(spark, sf_dir, "documents")))
+
+
+def op1_trigram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(backoff_scores(table(spark, sf_dir, "documents"), order=TRIGRAM))
+
+
 #: The same in DuckDB.
 ORACLE_OP1 = f"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -208,3 +218,16 @@ s AS (SELECT p.doc_id, CASE WHEN p.a IS NULL THEN ln(u.c) - ln(n.n) WHEN bi.c >=
 d AS (SELECT doc_id, count(*) AS k, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(d.x, 0), 4) AS score, round(d.x / d.k, 6) AS mean_score FROM w LEFT JOIN d ON d.doc_id = w.doc_id
 """
+
+#: Of trigrams.
+ORACLE_OP1_TRIGRAM = f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a, CASE WHEN i > 2 THEN w[i - 2] END AS z FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+u AS (SELECT b AS g, count(*) AS c FROM p GROUP BY b), n AS (SELECT count(*) AS n FROM p),
+bi AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b),
+tri AS (SELECT z, a, b, count(*) AS c FROM p WHERE z IS NOT NULL GROUP BY z, a, b),
+s AS (SELECT p.doc_id, p.z, tri.c AS c3, h2.c AS c2, CASE WHEN p.a IS NULL THEN ln(u.c) - ln(n.n) WHEN bi.c >= {CUTOFF} THEN ln(bi.c) - ln(h.c) ELSE ln(u.c) - ln(n.n) + ln({BACKOFF}) END AS x
+  FROM p CROSS JOIN n JOIN u ON u.g = p.b LEFT JOIN bi ON bi.a = p.a AND bi.b = p.b LEFT JOIN u h ON h.g = p.a LEFT JOIN tri ON tri.z = p.z AND tri.a = p.a AND tri.b = p.b LEFT JOIN bi h2 ON h2.a = p.z AND h2.b = p.a),
+d AS (SELECT doc_id, count(*) AS k, sum(CASE WHEN z IS NULL THEN x WHEN c3 >= {CUTOFF} THEN ln(c3) - ln(c2) ELSE x + ln({BACKOFF}) END) AS x FROM s GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(d.x, 0), 4) AS score, round(d.x / d.k, 6) AS mean_score FROM w LEFT JOIN d ON d.doc_id = w.doc_id
+"""

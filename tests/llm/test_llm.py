@@ -256,3 +256,21 @@ def test_digests(spark):
         assert rows[r.doc_id].n_tokens == len(ids)
         assert rows[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert rows[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("order,cutoff", [(1, 2), (2, 1), (3, 2), (4, 1), (4, 3)])
+def test_backoff_orders(spark, order, cutoff):
+    rng = random.Random(7)
+    texts = {k: " ".join(rng.choices("abc", k=rng.choice([0, 1, 2, 3, 30]))) for k in range(40)}
+    words = {k: x.split() for k, x in texts.items()}
+    held = Counter(tuple(w[i : i + n]) for w in words.values() for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(map(len, words.values()))
+
+    def score(gram):
+        if len(gram) == 1:
+            return np.log(held[gram] / total)
+        return np.log(held[gram] / held[gram[:-1]]) if held[gram] >= cutoff else np.log(0.4) + score(gram[1:])
+
+    got = {r.doc_id: r.score for r in backoff_scores(spark.createDataFrame([*texts.items()], "doc_id long, text string"), order=order, cutoff=cutoff).collect()}
+    for k, w in words.items():
+        assert got[k] == pytest.approx(sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))))
