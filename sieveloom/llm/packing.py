@@ -8,7 +8,8 @@ of long documents are sequences by themselves. What waits when a task ends is la
 whose lengths are powers of two, which need no padding.
 
 Tasks pack their own rows with a bounded number of waiting examples, so nothing is shuffled;
-sequence ids carry the task's number. Cases: a null or empty text is the single end id; texts of any
+sequence ids carry the task's number. Which tokens bear loss comes as spans of the text (as windows() of chat
+gives them); without spans all tokens do. Cases: a null or empty text is the single end id; texts of any
 length are tokenised whole; repeated rows are packed each; an empty table gives no pieces.
 """
 
@@ -37,6 +38,22 @@ class Limits:
     loss: int = 1024
 
 
+def loss_marks(coder, ids: np.ndarray, text: str, spans: list[dict] | None) -> np.ndarray:
+    """For each id of the text whether it has a byte in one of the spans: (start, length) in code points, from 1. Null spans: all have."""
+    if spans is None:
+        return np.ones(len(ids), dtype=bool)
+    ends = np.cumsum([0, *map(len, coder.decode_tokens_bytes(ids.tolist()))])
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    at = np.cumsum([0, *(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).tolist()])
+    covered = np.zeros(ends[-1], dtype=bool)
+    for span in spans:
+        first = max(0, span["start"] - 1)
+        last = max(first, span["start"] - 1 + span["length"])
+        covered[at[min(first, len(points))] : at[min(last, len(points))]] = True
+    upto = np.cumsum([0, *covered.tolist()])
+    return upto[ends[1:]] > upto[ends[:-1]]
+
+
 class Packer:
     """Waiting examples are rows (key, start, ids, loss): `loss` holds prefix sums of loss-bearing tokens, or None where all bear loss."""
 
@@ -140,9 +157,14 @@ def encoding(path: str):
     return tiktoken.Encoding("packing", pat_str=SPACED, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
 
-def pack(df: DataFrame, ranks: str, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", end: int | None = 0) -> DataFrame:
-    """(key, start, length, ids, doc_tokens, sequence_id, offset) of every piece; ids are unsigned 32-bit little-endian numbers."""
-    source = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))
+def pack(df: DataFrame, ranks: str, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", end: int | None = 0, loss: str | None = None) -> DataFrame:
+    """(key, start, length, ids, doc_tokens, sequence_id, offset) of every piece; ids are unsigned 32-bit little-endian numbers.
+
+    With `loss`, a column of spans that bear loss, array<struct<start, length>> in code points of the text from 1, also
+    loss_mask (a byte for each id) and loss_tokens. The end id bears loss where the text's last token does.
+    """
+    source = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"), *([F.col(loss).cast("array<struct<start: long, length: long>>").alias("spans")] if loss else []))
+    schema = f"{key} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long" + (", loss_mask binary, loss_tokens long" if loss else "")
 
     def run(batches):
         coder = encoding(ranks)
@@ -150,29 +172,34 @@ def pack(df: DataFrame, ranks: str, limits: Limits = Limits(), key: str = "doc_i
 
         def done():
             rows, packer.out = packer.out, []
+            masks = [r[0][2][r[1] : r[1] + len(r[2])] for r in rows] if loss else []
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0][0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([r[0][1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())],
-                [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                [pa.array([r[0][0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([r[0][1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), *([pa.array([m.tobytes() for m in masks], pa.binary()), pa.array([int(m.sum()) for m in masks], pa.int64())] if loss else [])],
+                [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", *(["loss_mask", "loss_tokens"] if loss else [])],
             )
 
-        for keys, texts in (x for batch in batches for x in blocks([batch], 1)):
-            for k, x in zip(keys, texts, strict=True):
+        for keys, texts, *spans in (x for batch in batches for x in blocks([batch], 1)):
+            for k, x, marked in zip(keys, texts, spans[0] if loss else [None] * len(keys), strict=True):
                 ids = coder.encode_to_numpy(x, allowed_special="all") if x else np.empty(0, np.uint32)
+                mask = loss_marks(coder, ids, x or "", marked) if loss else None
+                if loss and end is not None:
+                    mask = np.append(mask, mask[-1] if len(mask) else marked is None)
+                upto = np.concatenate([[0], np.cumsum(mask)]) if loss else None
                 if end is not None:
                     ids = np.append(ids, np.uint32(end))
                 ids = ids.astype("<u4", copy=False)
                 whole = len(ids) - len(ids) % limits.tokens if limits.loss >= limits.tokens else 0
                 for start in range(0, whole, limits.tokens):
-                    packer._emit([((k, len(ids)), start, ids[start : start + limits.tokens], None)])
+                    packer._emit([((k, len(ids), mask), start, ids[start : start + limits.tokens], None)])
                 if whole < len(ids):
-                    packer.add(((k, len(ids)), whole, ids[whole:], None))
+                    packer.add(((k, len(ids), mask), whole, ids[whole:], upto[whole:] if loss else None))
                 if len(packer.items) >= WAITING:
                     packer.drain(LEFT)
             yield done()
         packer.drain(0)
         yield done()
 
-    return source.mapInArrow(run, f"{key} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return source.mapInArrow(run, schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,3 +274,39 @@ def test_backoff_orders(spark, order, cutoff):
     got = {r.doc_id: r.score for r in backoff_scores(spark.createDataFrame([*texts.items()], "doc_id long, text string"), order=order, cutoff=cutoff).collect()}
     for k, w in words.items():
         assert got[k] == pytest.approx(sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))))
+
+
+@pytest.mark.parametrize("limits", [Limits(64, 3, 20), Limits(64, 8, 5)])
+def test_packer_loss_limit(limits):
+    rng = random.Random(2)
+    p, masks, loss = Packer(limits, 0), {}, Counter()
+    for k in range(200):
+        masks[k] = np.array([rng.random() < 0.5 for _ in range(rng.randint(1, 60))])
+        p.add((k, 0, np.arange(len(masks[k]), dtype=np.uint32), np.concatenate([[0], np.cumsum(masks[k])])))
+    p.drain(0)
+    for key, start, ids, sequence, _ in p.out:
+        loss[sequence] += int(masks[key][start : start + len(ids)].sum())
+    assert max(loss.values()) == limits.loss and sum(loss.values()) == sum(int(m.sum()) for m in masks.values())
+
+
+@pytest.mark.parametrize("limits", [Limits(64, 8, 20), Limits(64, 8, 64)])
+def test_pack_masked_prompts(spark, limits):
+    turns = [(c, k, "user" if k % 2 == 0 else "assistant", f"日本 é turn {k} " + "word " * (7 * (c + k) % 90)) for c in range(30) for k in range(4)]
+    chats = windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("window = 0").cache()
+    extra = spark.createDataFrame([(100, "all of it", None), (101, "none of it", []), (102, "", []), (103, None, None), (104, "beyond", [(3, 1000)])], "conv_id long, formatted string, loss array<struct<start: int, length: int>>")
+    source = chats.select("conv_id", "formatted", "loss").union(extra)
+    rows = pack(source, public_tokenizers.path("byte_bpe_50k.tiktoken"), limits, "conv_id", "formatted", loss="loss").collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    loss, pieces = Counter(), {}
+    for r in rows:
+        assert len(r.loss_mask) == r.length and sum(r.loss_mask) == r.loss_tokens
+        loss[r.sequence_id] += r.loss_tokens
+        pieces.setdefault(r.conv_id, []).append(r)
+    assert 0 < max(loss.values()) <= limits.loss
+    for c in source.collect():
+        text, got = c.formatted or "", sorted(pieces[c.conv_id], key=lambda r: r.start)
+        code = library.encode(text, add_special_tokens=False)
+        spans = [(0, len(text))] if c.loss is None else [(s.start - 1, s.start - 1 + s.length) for s in c.loss]
+        want = [any(a < hi and b > lo for lo, hi in spans) for a, b in code.offsets]
+        assert b"".join(bytes(r.ids) for r in got) == struct.pack(f"<{len(code.ids) + 1}I", *code.ids, 0)
+        assert [bool(b) for r in got for b in r.loss_mask] == [*want, want[-1] if want else c.loss is None]
