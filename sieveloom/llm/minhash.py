@@ -8,7 +8,7 @@ parts add up exactly; the frequencies weigh from 1 (in every document) to 2.
 Documents with equal words are one class. Classes are signed by improved consistent weighted sampling
 (Ioffe 2010): of each of BANDS x ROWS samples the shingle of least ln a = ln c - r (t - beta) - r with
 t = floor(ln w / r + beta) is kept, where r, c and beta are drawn by hash out of a table of DRAWS draws and
-weights are rounded to LEVELS steps, so that ln a is looked up. Classes that agree in a band meet;
+weights are rounded to powers of STEP, so that ln a is looked up; above the LEVELS first powers it is calculated. Classes that agree in a band meet;
 candidate pairs are verified exactly by weighted Jaccard similarity.
 
 No bucket is expanded into all its pairs: in each round every class of a bucket that is not yet linked
@@ -107,13 +107,16 @@ class Signer:
     def __init__(self, sketch: np.ndarray, n: int):
         self.rarity = (1 + np.log((n + 1) / (np.minimum(sketch, n) + 1)) / np.log(n + 2)).astype(np.float32)
         rng = np.random.default_rng(5)
-        r, c, beta = rng.gamma(2, 1, DRAWS), rng.gamma(2, 1, DRAWS), rng.random(DRAWS)
-        log_w = np.arange(LEVELS)[:, None] * np.log(STEP)
-        t = np.floor(log_w / r + beta)
-        self.log_a = (np.log(c) - r * (t - beta) - r).astype(np.float32).ravel()
-        self.step = (t.astype(np.int64) & 0xFFFF).astype(np.uint64).ravel()
+        self.r, self.log_c, self.beta = rng.gamma(2, 1, DRAWS), np.log(rng.gamma(2, 1, DRAWS)), rng.random(DRAWS)
+        self.log_a, self.step = (x.ravel() for x in self._sampled(np.arange(LEVELS)[:, None], np.arange(DRAWS)))
         self.factors = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
+    def _sampled(self, level: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and the step t of weights STEP ** level under the draws."""
+        r, beta = self.r[draw], self.beta[draw]
+        t = np.floor(level * np.log(STEP) / r + beta)
+        return (self.log_c[draw] - r * (t - beta) - r).astype(np.float32), (t.astype(np.int64) & 0xFFFF).astype(np.uint64)
+
     def shingles(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles in order, and their weights."""
         if not len(hashes):
@@ -130,20 +133,28 @@ class Signer:
         return found, counts.astype(np.float32) * (mean[first] / n)
 
     def bands(self, found: np.ndarray, weights: np.ndarray) -> list[int]:
-        level = np.clip(np.rint(np.log(weights) / np.log(STEP)), 0, LEVELS - 1).astype(np.int64) * DRAWS
+        level = np.maximum(np.rint(np.log(weights) / np.log(STEP)), 0).astype(np.int64)
+        row = np.minimum(level, LEVELS - 1) * DRAWS
+        heavy = level >= LEVELS
         low = np.full(len(self.factors), np.inf, np.float32)
         kept = np.zeros(len(self.factors), dtype=np.uint64)
         shift = np.uint64(64 - (DRAWS.bit_length() - 1))
         for s in range(0, len(found), 2048):
             f = found[s : s + 2048]
             at = ((self.factors[:, None] * f[None, :]) >> shift).astype(np.int64)
-            at += level[None, s : s + 2048]
+            at += row[None, s : s + 2048]
             a = self.log_a[at]
+            above = np.flatnonzero(heavy[s : s + 2048])
+            if len(above):
+                a[:, above] = self._sampled(level[s + above], at[:, above] % DRAWS)[0]
             k = np.argmin(a, axis=1)
             i = np.arange(len(k))
+            step = self.step[at[i, k]]
+            if len(above):
+                step = np.where(heavy[s + k], self._sampled(level[s + k], at[i, k] % DRAWS)[1], step)
             better = a[i, k] < low
             low = np.where(better, a[i, k], low)
-            kept = np.where(better, f[k] ^ (self.step[at[i, k]] * np.uint64(0xD6E8FEB86659FD93)), kept)
+            kept = np.where(better, f[k] ^ (step * np.uint64(0xD6E8FEB86659FD93)), kept)
         grid, out = kept.reshape(BANDS, ROWS), np.zeros(BANDS, dtype=np.uint64)
         for k in range(ROWS):
             out = (out ^ grid[:, k]) * np.uint64(0x9E3779B97F4A7C15)

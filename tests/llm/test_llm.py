@@ -310,3 +310,10 @@ def test_pack_masked_prompts(spark, limits):
         want = [any(a < hi and b > lo for lo, hi in spans) for a, b in code.offsets]
         assert b"".join(bytes(r.ids) for r in got) == struct.pack(f"<{len(code.ids) + 1}I", *code.ids, 0)
         assert [bool(b) for r in got for b in r.loss_mask] == [*want, want[-1] if want else c.loss is None]
+
+
+def test_near_duplicates_of_heavy_shingles(spark):
+    """Pairs of long texts that share one line repeated thousands of times, and nothing else."""
+    rows = [(k, " ".join([f"line{k // 2}"] * 3000 + [f"own{k}x{j}" for j in range(300)])) for k in range(20)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(20)}
