@@ -14,7 +14,7 @@ FOOTER = "(?i)\\bo.qituvchi(si)?\\b|kafedra|\\bmudiri\\s*:|\\btuzuvchi\\b|\\bdek
 
 def _paras(d: Dialect) -> str:
     strong = f"highlight or greatest(g - greatest(r, b), r - greatest(g, b)) > {DOMINANT}"
-    return f"paras as (select doc_id, para, {d.joined('text', chr(39) + ' ' + chr(39), 'run')} as text, count_if({strong}) > 0 as strong, count_if(text <> '') > 0 and count_if(text <> '' and not bold) = 0 as full_bold, avg(case when bold then 1.0e0 else 0.0e0 end) as bold_share from @runs group by doc_id, para)"
+    return f"paras as (select doc_id, para, {d.joined('text', chr(39) + ' ' + chr(39), 'run')} as text, count_if({strong}) > 0 as strong, count_if(text <> '') > 0 and count_if(text <> '' and not bold) = 0 as full_bold, count_if(bold and {d.strip('text')} <> '') > 0 as some_bold, count_if(listed) > 0 as listed from @runs group by doc_id, para)"
 
 
 def x01_strong(d: Dialect) -> str:
@@ -26,7 +26,10 @@ def x02_fully_bold(d: Dialect) -> str:
 
 
 def _blocks(d: Dialect) -> str:
-    return f"{_paras(d)}, blocks as (select *, sum(case when para % 4 = 0 then 1 else 0 end) over (partition by doc_id order by para) as block from paras)"
+    """A question sign or a list number starts a block; its first paragraph is the question. Blank paragraphs are dropped."""
+    start = f"({d.match(d.strip('text'), '^[?]')} or listed)"
+    return f"""{_paras(d)}, starts as (select *, sum(case when {start} then 1 else 0 end) over (partition by doc_id order by para) as block from paras where {d.strip('text')} <> ''),
+        blocks as (select *, row_number() over (partition by doc_id, block order by para) > 1 as option from starts)"""
 
 
 def x04_blocks(d: Dialect) -> str:
@@ -35,7 +38,7 @@ def x04_blocks(d: Dialect) -> str:
 
 def x05_block_answer(d: Dialect) -> str:
     """The first strong option of a block is right; without one, the only fully bold option."""
-    return f"""with {_blocks(d)}, w as (select *, para % 4 <> 0 as option, min(case when strong and para % 4 <> 0 then para end) over (partition by doc_id, block) as first_strong, count(case when full_bold and para % 4 <> 0 then 1 end) over (partition by doc_id, block) as bolds from blocks)
+    return f"""with {_blocks(d)}, w as (select *, min(case when strong and option then para end) over (partition by doc_id, block) as first_strong, count(case when full_bold and option then 1 end) over (partition by doc_id, block) as bolds from blocks)
         select doc_id, para, option and case when first_strong is not null then para = first_strong else bolds = 1 and full_bold end as right_ from w"""
 
 
@@ -52,14 +55,16 @@ def x12_bold_option(d: Dialect) -> str:
 
 
 def s15_table_bold(d: Dialect) -> str:
-    return f"with {_paras(d)}, first_ as (select *, row_number() over (partition by doc_id order by para) as n from paras where text <> '') select doc_id, count(*) >= 3 and count_if({d.match('text', '^[?+=]')}) = 0 and round(avg(case when full_bold then 1.0e0 else bold_share end), 6) between 0.10e0 and 0.55e0 as is_bold_table from first_ where n <= 60 group by doc_id"
+    """Ten paragraphs or more in the first 60 rows, none marked, and 10 to 55 % with bold text."""
+    return f"with {_paras(d)}, first_ as (select *, row_number() over (partition by doc_id order by para) as n from paras), t as (select doc_id, {d.strip('text')} as s, some_bold from first_ where n <= 60) select doc_id, count_if(s <> '') >= 10 and count_if({d.match('s', '^[?+=]')}) = 0 and 100 * count_if(s <> '' and some_bold) between 10 * count_if(s <> '') and 55 * count_if(s <> '') as is_bold_table from t group by doc_id"
 
 
 def s16_bold_to_marks(d: Dialect) -> str:
-    """Bold paragraphs are questions; the first after one is right, later ones are wrong."""
-    return f"""with {_paras(d)}, q as (select *, strong as head, sum(case when strong then 1 else 0 end) over (partition by doc_id order by para) as block from paras),
+    """Paragraphs with bold text are questions; the first other one after is right, later ones are wrong."""
+    return f"""with {_paras(d)}, h as (select doc_id, para, {d.strip('text')} as s, some_bold as head from paras),
+        q as (select *, sum(case when head then 1 else 0 end) over (partition by doc_id order by para) as block from h where s <> ''),
         n as (select *, sum(case when head then 0 else 1 end) over (partition by doc_id, block order by para) as nth from q)
-        select doc_id, para, concat(case when head then '? ' when nth = 1 then '+ ' else '= ' end, text) as text from n where block > 0"""
+        select doc_id, para, concat(case when head then '? ' when nth = 1 then '+ ' else '= ' end, s) as text from n"""
 
 
 def x06_mark_highlighted(d: Dialect) -> str:

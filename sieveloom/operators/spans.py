@@ -47,13 +47,14 @@ def p07_highlight_marks(d: Dialect) -> str:
 
 
 def s05_pages(d: Dialect) -> str:
-    """Lines dealt to pages by the pages' running counts of lines; what is over goes to the last."""
-    return """with n as (select doc_id, count(*) as n from @lines group by doc_id), p as (select n.doc_id, k.k as page, 4 * (k.k - 1) as lo, case when k.k = 3 then n.n else 4 * k.k end as hi from n cross join (select 1 as k union all select 2 union all select 3) k)
-        select l.doc_id, l.line_no, cast(p.page as bigint) as page from @lines l join p on p.doc_id = l.doc_id and l.line_no > p.lo and l.line_no <= p.hi"""
+    """Lines dealt to pages by the pages' running counts of lines (doc_id, page, n_lines); what is over goes to the last."""
+    return """with p as (select doc_id, page, sum(n_lines) over (partition by doc_id order by page) - n_lines as lo, sum(n_lines) over (partition by doc_id order by page) as hi, max(page) over (partition by doc_id) as last_page from @pages)
+        select l.doc_id, l.line_no, cast(p.page as bigint) as page from @lines l join p on p.doc_id = l.doc_id and l.line_no > p.lo and (l.line_no <= p.hi or p.page = p.last_page)"""
 
 
 def s11_inline_paragraphs(d: Dialect) -> str:
-    return f"with {_paras(d)} select doc_id, count_if({d.match('text', '^[?+=]')}) = 0 and count_if({d.match('text', '[ ][a-d][.)]? ')}) >= 2 as inline_ from paras group by doc_id"
+    """Five paragraphs or more with lettered options on lines of their own, and none marked."""
+    return f"with {_paras(d)} select doc_id, count_if({d.match(d.strip('text'), '^[?+=]')}) = 0 and count_if({d.match('text', '(?i)\\n\\s*[a-d]\\.\\s')}) >= 5 as inline_ from paras group by doc_id"
 
 
 def s13_table_blocks(d: Dialect) -> str:

@@ -97,9 +97,14 @@ def glyphs(d: Dialect) -> str:
 
 
 def runs(d: Dialect) -> str:
-    """Styled runs of paragraphs."""
+    """Styled runs of paragraphs; `listed` where the paragraph is numbered by its list."""
     x = d.each("@conversations", "conv_id, turn", d.words("text"), "run", "w")
-    return f"select conv_id as doc_id, turn as para, run, w as text, (turn + run) % 3 = 0 as bold, cast((conv_id * 37 + run * 61) % 256 as bigint) as r, cast((conv_id * 11 + run * 91) % 256 as bigint) as g, cast(run * 29 % 256 as bigint) as b, run % 17 = 5 as highlight from ({x}) x"
+    return f"select conv_id as doc_id, turn as para, run, w as text, (turn + run) % 3 = 0 as bold, cast((conv_id * 37 + run * 61) % 256 as bigint) as r, cast((conv_id * 11 + run * 91) % 256 as bigint) as g, cast(run * 29 % 256 as bigint) as b, run % 17 = 5 as highlight, turn % 4 = 0 as listed from ({x}) x"
+
+
+def page_counts(d: Dialect) -> str:
+    """Lines on each page of the documents as they were before cleaning, by page lengths of 3 to 7 lines."""
+    return f"select doc_id, page, count(*) as n_lines from (select doc_id, {d.div('(line_no - 1)', '(3 + doc_id % 5)')} + 1 as page from ({d.lines('@documents', 'doc_id', 'text')}) x) y group by doc_id, page"
 
 
 def cells(d: Dialect) -> str:
@@ -117,6 +122,7 @@ DIRTY = Plan(dirty_docs, documents="documents")
 ANSWERS = Plan(answers, lineitem="lineitem")
 GLYPHS = Plan(glyphs, embeddings="embeddings")
 RUNS = Plan(runs, conversations="conversations")
+PAGES = Plan(page_counts, documents="documents")
 CELLS = Plan(cells, opt=OPT)
 LOG = Plan(batch_log, events="events")
 

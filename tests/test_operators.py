@@ -84,3 +84,38 @@ def test_paragraphs_are_whole(spark):
     runs = apply(views.runs, spark, conversations=spark.createDataFrame([(1, 0, text), (1, 1, "short one")], "conv_id long, turn long, text string"))
     assert [r.text for r in apply(spans.j08_zip, spark, runs=runs).orderBy("n").collect()] == [text, "short one"]
     assert [r.text for r in apply(layout.x11_bold_chunks, spark, runs=runs).where("para = 0").orderBy("chunk").collect()] == [f"w{k}" for k in range(3, 41, 3)]
+
+
+def runs_of(spark, paragraphs):
+    """Paragraphs of one run each: (text, bold, highlight, listed)."""
+    return spark.createDataFrame([(1, k, 1, t, b, 0, 0, 0, h, n) for k, (t, b, h, n) in enumerate(paragraphs)], "doc_id long, para long, run long, text string, bold boolean, r long, g long, b long, highlight boolean, listed boolean")
+
+
+def test_pages_by_their_own_counts(spark):
+    pages = spark.createDataFrame([(1, 1, 2), (1, 2, 0), (1, 3, 5), (1, 4, 1)], "doc_id long, page long, n_lines long")
+    out = apply(spans.s05_pages, spark, lines=lines(spark, "\n".join("x" * 10)), pages=pages).orderBy("line_no").collect()
+    assert [r.page for r in out] == [1, 1, 3, 3, 3, 3, 3, 4, 4, 4]
+
+
+def test_blocks_start_at_signs_and_numbers(spark):
+    plain = (False, False, False)
+    runs = runs_of(spark, [("lead", *plain), ("a", True, False, False), ("? one", *plain), ("", False, True, False), ("b", *plain), ("c", False, True, False), ("d", False, True, False), ("e", *plain), ("two", False, True, True), ("f", True, False, False), ("g", True, False, False)])
+    assert [(r.para, r.block) for r in apply(layout.x04_blocks, spark, runs=runs).orderBy("para").collect()] == [(0, 0), (1, 0), (2, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 2), (9, 2), (10, 2)]
+    assert [r.para for r in apply(layout.x05_block_answer, spark, runs=runs).where("right_").orderBy("para").collect()] == [1, 5]
+
+
+@pytest.mark.parametrize("n,more,found", [(5, [], True), (4, [], False), (5, [" + marked"], False)])
+def test_inline_paragraphs(spark, n, more, found):
+    runs = runs_of(spark, [(t, False, False, False) for t in ["Which\n a. one\n B. two"] * n + ["a b c"] * 3 + more])
+    assert apply(spans.s11_inline_paragraphs, spark, runs=runs).first().inline_ == found
+
+
+@pytest.mark.parametrize("bold,plain,found", [(2, 8, True), (2, 7, False), (6, 4, False), (1, 9, True), (0, 12, False)])
+def test_table_bold(spark, bold, plain, found):
+    runs = runs_of(spark, [(f"p{k}", k < bold, True, False) for k in range(bold + plain)])
+    assert apply(layout.s15_table_bold, spark, runs=runs).first().is_bold_table == found
+
+
+def test_bold_heads(spark):
+    runs = runs_of(spark, [("one", True, False, False), ("a", False, True, False), (" ", True, False, False), ("b", False, False, False), ("two", True, False, False), ("c", False, True, False)])
+    assert [r.text for r in apply(layout.s16_bold_to_marks, spark, runs=runs).orderBy("para").collect()] == ["? one", "+ a", "= b", "? two", "+ c"]
