@@ -138,7 +138,7 @@ def g01_spaced_rules(d: Dialect) -> str:
 
 
 def g06_images(d: Dialect) -> str:
-    """Image tokens move out of the text; the path of the first is kept, and what is only an image has a name for it."""
+    """Image tokens move out of the text into the list of their paths, as JSON in order; what is only images has a name for it."""
     token = "\\[\\[img:([^\\]]+)\\]\\]"
     clean = d.strip(d.rep(d.rep("text", token, ""), "[ \\t]+", " "))
-    return f"select doc_id, case when {clean} = '' and {d.match('text', token)} then '[rasm]' else {clean} end as text, {d.ext('text', token)} as image, {d.count('text', token)} as images from @docs"
+    return f"select doc_id, case when {clean} = '' and {d.match('text', token)} then '[rasm]' else {clean} end as text, {d.all('text', token)} as paths, {d.count('text', token)} as images from @docs"

@@ -53,6 +53,10 @@ class Spark(Dialect):
     def ext(self, x: str, pattern: str, group: int = 1) -> str:
         return f"regexp_extract({x}, r'{pattern}', {group})"
 
+    def all(self, x: str, pattern: str, group: int = 1) -> str:
+        """All matches, as JSON."""
+        return f"to_json(regexp_extract_all({x}, r'{pattern}', {group}))"
+
     def count(self, x: str, pattern: str) -> str:
         return f"cast(regexp_count({x}, r'{pattern}') as bigint)"
 
@@ -112,6 +116,9 @@ class Duck(Dialect):
     def ext(self, x: str, pattern: str, group: int = 1) -> str:
         return f"regexp_extract({x}, '{pattern}', {group})"
 
+    def all(self, x: str, pattern: str, group: int = 1) -> str:
+        return f"cast(to_json(regexp_extract_all({x}, '{pattern}', {group})) as varchar)"
+
     def count(self, x: str, pattern: str) -> str:
         return f"cast(len(regexp_extract_all({x}, '{pattern}')) as bigint)"
 

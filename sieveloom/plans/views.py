@@ -83,7 +83,7 @@ def dash_lines(d: Dialect) -> str:
 
 
 def dirty_docs(d: Dialect) -> str:
-    return f"select doc_id, concat(case when doc_id % 5 = 0 then {d.ch(65279)} else '' end, replace(replace(replace(text, '. ', concat(' ', {d.ch(8212)}, '  ')), 'th', concat({d.ch(8216)}, 'th')), ' of ', case when doc_id % 3 = 0 then concat(' ', {d.ch(960)}, ' 6 ') else concat('  ', chr(9), 'of ') end), case when doc_id % 4 = 0 then concat(chr(10), {d.ch(1611)}, ' = tail [[img:images/', cast(doc_id as varchar(20)), '.png]]') else '' end) as text from @documents"
+    return f"select doc_id, concat(case when doc_id % 5 = 0 then {d.ch(65279)} else '' end, replace(replace(replace(text, '. ', concat(' ', {d.ch(8212)}, '  ')), 'th', concat({d.ch(8216)}, 'th')), ' of ', case when doc_id % 3 = 0 then concat(' ', {d.ch(960)}, ' 6 ') else concat('  ', chr(9), 'of ') end), case when doc_id % 4 = 0 then concat(chr(10), {d.ch(1611)}, ' = tail [[img:images/', cast(doc_id as varchar(20)), '.png]]', case when doc_id % 8 = 0 then concat(' and [[img:images/', cast(doc_id as varchar(20)), 'b.png]][[img:images/c.png]]') else '' end) else '' end) as text from @documents"
 
 
 def answers(d: Dialect) -> str:

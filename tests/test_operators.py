@@ -1,5 +1,7 @@
 """Single operators on small made-up input."""
 
+import json
+
 import pytest
 
 from sieveloom.functions.text import join_lines
@@ -119,3 +121,9 @@ def test_table_bold(spark, bold, plain, found):
 def test_bold_heads(spark):
     runs = runs_of(spark, [("one", True, False, False), ("a", False, True, False), (" ", True, False, False), ("b", False, False, False), ("two", True, False, False), ("c", False, True, False)])
     assert [r.text for r in apply(layout.s16_bold_to_marks, spark, runs=runs).orderBy("para").collect()] == ["? one", "+ a", "= b", "? two", "+ c"]
+
+
+def test_all_images_are_kept(spark):
+    docs = spark.createDataFrame([(1, "see [[img:a/1.png]] and\n[[img:b.png]][[img:a/1.png]]"), (2, "[[img:x.png]] [[img:y.png]]"), (3, "none [[img:]]")], "doc_id long, text string")
+    out = apply(parse.g06_images, spark, docs=docs).orderBy("doc_id").collect()
+    assert [(r.text, json.loads(r.paths), r.images) for r in out] == [("see and", ["a/1.png", "b.png", "a/1.png"], 3), ("[rasm]", ["x.png", "y.png"], 2), ("none [[img:]]", [], 0)]
