@@ -127,3 +127,9 @@ def test_all_images_are_kept(spark):
     docs = spark.createDataFrame([(1, "see [[img:a/1.png]] and\n[[img:b.png]][[img:a/1.png]]"), (2, "[[img:x.png]] [[img:y.png]]"), (3, "none [[img:]]")], "doc_id long, text string")
     out = apply(parse.g06_images, spark, docs=docs).orderBy("doc_id").collect()
     assert [(r.text, json.loads(r.paths), r.images) for r in out] == [("see and", ["a/1.png", "b.png", "a/1.png"], 3), ("[rasm]", ["x.png", "y.png"], 2), ("none [[img:]]", [], 0)]
+
+
+def test_images_of_questions_beyond_500(spark):
+    opt = spark.sql("select id * 7 as q_no, 1L as pos, repeat('x', cast(5 + id % 3 as int)) as txt, true as ok from range(1500)")
+    out = apply(spans.j10_images_of_questions, spark, opt=opt)
+    assert out.count() == 1500 and {r.q_no // 7 for r in out.where("has_image").collect()} == set(range(2, 1500, 3))
