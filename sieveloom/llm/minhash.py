@@ -239,8 +239,9 @@ def across(open_classes: DataFrame, texts: DataFrame, signer, least: float) -> D
     """Pairs (x, y, n) of classes (cls, root) of unlike roots that may reach a similarity of `least`: all that do, and few others."""
     rows = written(shingle_rows(texts.join(open_classes, "cls", "left_semi"), signer))
     often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    order = "partition by cls order by n, shingle rows between current row and unbounded following"
-    rest = rows.join(often, "shingle").selectExpr("cls", "total", "shingle", f"sum(cast(weight as double)) over ({order}) as rest")
+    # The weight from here on is all shared weight less what stands before; a frame that ends with the group would be summed anew for each row.
+    before = "partition by cls order by n, shingle rows between unbounded preceding and current row"
+    rest = rows.join(often, "shingle").withColumn("weight", F.col("weight").cast("double")).selectExpr("cls", "total", "shingle", f"sum(weight) over (partition by cls) - sum(weight) over ({before}) + weight as rest")
     rest = rest.where(F.col("rest") >= (least - 1e-6) * F.col("total")).join(open_classes, "cls")
     first = written(rest)
     # Within a shingle, those outside its largest component meet all others.
