@@ -5,8 +5,13 @@ rotation spreads that distance over the axes; the rotated vector is split into b
 and by the pigeonhole principle two near vectors are near in at least one block: within the block's
 share of the squared distance, in proportion to its axes. Each block is range-joined by itself: its
 first two axes make a grid of cells as wide as the block's radius, so partners are in the same or an
-adjacent cell. The union of the blocks' candidates is verified exactly, in double precision, and a
-pair counts in the first block that proposes it.
+adjacent cell; of these, pairs within the block's share are its candidates. The union of the blocks' candidates is verified
+exactly, in double precision, and a pair counts in the first block that proposes it. Vectors are scaled by a power of two
+first, so that no length over- or underflows.
+
+What the grid keeps depends on the vectors: those spread evenly over all axes are mostly adjacent in two axes of any
+block, so that the tiles are compared with nearly all others (by one product of matrices each), and only the block's
+whole distance tells them apart. candidates() counts what is left to verify.
 
 Equal vectors of a label are one class that carries its number of members, so a group of copies of
 any size is one row. Cells are cut into tiles of about TILE rows, and tasks take pairs of tiles: no
@@ -15,7 +20,7 @@ them. Components then come from the forests.
 
 Cases: vectors with a null label, null, empty, zero or with null or non-finite components link with
 nothing; vectors of different lengths link with nothing; repeated rows are vectors of their own and
-link with each other; extra columns are left out; an empty table gives no rows.
+link with each other, as do those that share an id; a null id is an id like others, but component_id is the least that isn't null; extra columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,50 +53,72 @@ def _budget(n: int, a: int, b: int, least: float) -> float:
     return (2 - 2 * least) * (b - a) / n + SLACK
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between 1/2 and 1: exact, but for what is 2^-500 of it and less."""
+    shift = -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1]
+    return np.ldexp(np.ldexp(rows, shift // 2), shift - shift // 2)
+
+
+def turned(rows: np.ndarray) -> np.ndarray:
+    """Scaled rows at length one, rotated. Each row by itself, so that a vector has the same axes in every task."""
+    return np.einsum("ij,kj->ik", rows / np.linalg.norm(rows, axis=1, keepdims=True), rotation(rows.shape[1]))
+
+
 def cells(classes: DataFrame, least: float) -> DataFrame:
     """(cls, label, vector, n, block, x, y): the cell of each class in each block."""
 
     def run(batches):
-        turns: dict[int, np.ndarray] = {}
         for batch in batches:
             vectors, rows, blocks, xs, ys = batch.column(2), [], [], [], []
-            for k in range(batch.num_rows):
-                v = np.asarray(vectors[k].values, dtype=np.float64)
-                m = len(v)
-                if m not in turns:
-                    turns[m] = rotation(m)
-                r = turns[m] @ (v / np.linalg.norm(v))
+            sizes = np.diff(np.asarray(vectors.offsets))
+            for m in np.unique(sizes).tolist():
+                of = np.flatnonzero(sizes == m)
+                r = turned(scaled(np.stack([np.asarray(vectors[k].values, dtype=np.float64) for k in of.tolist()])))
                 for j, (a, b) in enumerate(_blocks(m)):
                     width = np.sqrt(_budget(m, a, b, least))
-                    rows.append(k)
-                    blocks.append(j)
-                    xs.append(int(np.floor(r[a] / width)))
-                    ys.append(int(np.floor(r[a + 1] / width)) if b - a > 1 else 0)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), *(pa.array(v, pa.int32()) for v in (blocks, xs, ys))], ["cls", "label", "vector", "n", "block", "x", "y"])
+                    rows.append(of)
+                    blocks.append(np.full(len(of), j))
+                    xs.append(np.floor(r[:, a] / width))
+                    ys.append(np.floor(r[:, a + 1] / width) if b - a > 1 else np.zeros(len(of)))
+            if rows:
+                at = pa.array(np.concatenate(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), *(pa.array(np.concatenate(v).astype(np.int32), pa.int32()) for v in (blocks, xs, ys))], ["cls", "label", "vector", "n", "block", "x", "y"])
 
     return classes.select("cls", "label", "vector", "n").mapInArrow(run, "cls long, label string, vector array<double>, n long, block int, x int, y int")
 
 
+def proposals(left: np.ndarray, right: np.ndarray, a: int, b: int, budget: float):
+    """Places (i, j), run by run, of rotated rows whose distance in axes a to b may be within the budget.
+
+    One product tells: |x - y|^2 <= budget is x.y - |x|^2 / 2 - |y|^2 / 2 >= -budget / 2. Single precision with slack; the caller decides.
+    """
+    x, y = left[:, a:b].astype(np.float32), right[:, a:b].astype(np.float32)
+    half = lambda v: (v.astype(np.float64) ** 2).sum(1, keepdims=True).astype(np.float32) / 2
+    x = np.hstack([x, -half(x), np.ones((len(x), 1), np.float32)])
+    y = np.hstack([y, np.ones((len(y), 1), np.float32), -half(y)])
+    for s in range(0, len(x), 256):
+        i, j = np.nonzero(x[s : s + 256] @ y.T >= -budget / 2 - 1e-5)
+        if len(i):
+            yield i + s, j
+
+
 def _joined(least: float):
-    """Of a pair of tiles: each class's links and the forest of the links."""
+    """Of a pair of tiles: each class's links and the forest of the links; and how many pairs were verified."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        empty = pa.RecordBatch.from_pydict({"a": [], "b": [], "links": []}, schema=_SCHEMA)
         if not parts:
-            yield empty
+            yield pa.RecordBatch.from_pydict({"a": [], "b": [], "links": []}, schema=_SCHEMA)
             return
-        t = pa.concat_tables(parts)
+        t = pa.concat_tables(parts).combine_chunks()
         home = np.asarray(t["home"])
-        raw = np.array(t["vector"].to_pylist(), dtype=np.float64)
-        cls, n, m = np.asarray(t["cls"]), np.asarray(t["n"]), raw.shape[1]
-        size = np.linalg.norm(raw, axis=1)
-        unit = raw / size[:, None]
-        turned = unit @ rotation(m).T
+        cls, n = np.asarray(t["cls"]), np.asarray(t["n"])
+        values = t["vector"].combine_chunks()
+        raw = scaled(np.asarray(values.flatten(), dtype=np.float64).reshape(len(cls), -1))
+        m, size, axes = raw.shape[1], np.linalg.norm(raw, axis=1), turned(raw)
         block, same = key[1].as_py(), not home.min() < home.max() and bool(np.asarray(t["same"])[0])
         left, right = (np.arange(len(cls)), np.arange(len(cls))) if same else (np.flatnonzero(home), np.flatnonzero(~home))
-        links, edges = np.zeros(len(cls), dtype=np.int64), []
+        links, edges, tried = np.zeros(len(cls), dtype=np.int64), [], 0
         parent = np.arange(len(cls))
 
         def root(i):
@@ -100,24 +127,18 @@ def _joined(least: float):
                 i = parent[i]
             return i
 
-        for s in range(0, len(left), 256):
-            rows = left[s : s + 256]
-            if not len(right):
-                break
-            proposed = np.zeros((len(rows), len(right)), dtype=bool)
-            for k, (a, b) in enumerate(_blocks(m)[: block + 1]):
-                x, y = turned[rows, a:b], turned[right, a:b]
-                near = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * (x @ y.T) <= _budget(m, a, b, least)
-                if k < block:
-                    proposed |= near
-                else:
-                    near &= ~proposed
+        def within(i, j, k):
+            a, b = _blocks(m)[k]
+            return ((axes[i, a:b] - axes[j, a:b]) ** 2).sum(1) <= _budget(m, a, b, least)
+
+        for i, j in proposals(axes[left], axes[right], *_blocks(m)[block], _budget(m, *_blocks(m)[block], least)):
+            i, j = left[i], right[j]
             if same:
-                near &= rows[:, None] < right[None, :]
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            i, j = rows[i], right[j]
+                i, j = i[i < j], j[i < j]
+            for k in range(block + 1):  # the same sums in every task, so one block takes a pair
+                mine = within(i, j, k) == (k == block)
+                i, j = i[mine], j[mine]
+            tried += len(i)
             exact = np.einsum("ij,ij->i", raw[i], raw[j]) / (size[i] * size[j]) >= least
             i, j = i[exact], j[exact]
             np.add.at(links, i, n[j])
@@ -128,7 +149,7 @@ def _joined(least: float):
                     parent[max(p, q)] = min(p, q)
                     edges.append((int(cls[a]), int(cls[b])))
         some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array([*cls[some].tolist(), *(a for a, _ in edges)], pa.int64()), pa.array([*([None] * len(some)), *(b for _, b in edges)], pa.int64()), pa.array([*links[some].tolist(), *([None] * len(edges))], pa.int64())], ["a", "b", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array([*cls[some].tolist(), *(a for a, _ in edges), None], pa.int64()), pa.array([*([None] * len(some)), *(b for _, b in edges), None], pa.int64()), pa.array([*links[some].tolist(), *([None] * len(edges)), tried], pa.int64())], ["a", "b", "links"])
 
     return run
 
@@ -136,14 +157,21 @@ def _joined(least: float):
 _SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
-def near_vectors(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(key, n_links, component_id, kept) of every row."""
+def _classes(rows: DataFrame) -> DataFrame:
+    """Copies: rows of one label and vector. Vectors group as they are; cls is a 64-bit key of the class."""
+    return rows.where("fine").groupBy("label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("cls", F.xxhash64("label", "vector"))
+
+
+def _rows(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     rows = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     sound = F.col("label").isNotNull() & F.expr("vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) <> double('infinity')) and exists(vector, x -> x <> 0)")
     rows = rows.withColumn("fine", F.coalesce(sound, F.lit(False)))
     rows = rows.withColumn("vector", F.when(F.col("fine"), F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))))  # -0.0 equals 0.0
-    # Copies: rows of one label and vector. The hash is only a short key; vectors group as they are.
-    classes = written(rows.where("fine").groupBy("label", "vector").agg(F.min("id").alias("cls"), F.count("*").alias("n")))
+    return rows
+
+
+def _found(classes: DataFrame, least: float) -> DataFrame:
+    """Rows (a, null, links of a), links of the forest (a, b, null), and (null, null, pairs verified); written."""
     placed = written(cells(classes, least).withColumn("dim", F.size("vector")))
     tiles = placed.groupBy("label", "dim", "block", "x", "y").agg(F.count("*").alias("rows")).withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int")).drop("rows")
     at = ["label", "dim", "block", "x", "y"]
@@ -161,13 +189,31 @@ def near_vectors(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector
     second = pairs.where("not same").selectExpr(*at[:3], "o_x as x", "o_y as y", "t as tile", "name", "same", "false as home")
     dealt = home.join(first.unionByName(second), [*at, "tile"]).select("name", "block", "cls", "vector", "n", "same", "home")
     found = written(dealt.groupBy("name", "block").applyInArrow(_joined(least), "a long, b long, links long"))
-    links = found.where("links is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    forget(placed)
+    forget(home)
+    return found
+
+
+def candidates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> int:
+    """The number of pairs of unlike vectors that are verified."""
+    found = _found(written(_classes(_rows(df, key, vector, label))), least)
+    return found.where("a is null").agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
+
+
+def near_vectors(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """(key, n_links, component_id, kept) of every row."""
+    rows = _rows(df, key, vector, label)
+    classes = written(_classes(rows))
+    found = _found(classes, least)
+    links = found.where("a is not null and links is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     parts = components(found.where("b is not null").select("a", "b"))
     classes = classes.join(links, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left")
-    classes = classes.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    classes = written(classes.select("label", "vector", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")))
+    least_id = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = classes.join(least_id, "component").select("label", "vector", "n_links", "component_id")
     out = rows.where("fine").join(classes, ["label", "vector"]).select("id", "n_links", "component_id")
     out = out.unionByName(rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
