@@ -8,7 +8,8 @@ their labels, weighted by similarity.
 
 Fitted on at most SAMPLE rows of each label. Cases: a null or empty text (or one of white space only) has no evidence and scores
 0; without labelled rows of both labels every other text scores 0.5; texts of any length are read
-whole; repeated rows score alike; further columns pass through.
+whole; repeated rows score alike; neighbours as near as the last one vote too; further columns pass through. Of
+labelled rows that share an id, the least text counts.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def _mixed(data: bytes) -> int:
 def shape(word: str) -> str:
     """Runs of upper case, lower case and digits as one letter each; other characters once a run."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = "U" if c.isupper() else "L" if c.isalpha() else "D" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
@@ -95,9 +96,9 @@ class Neighbours:
         latent = _unit(_unit(rows * self.weights) @ self.projection).astype(np.float32)
         cosines = latent @ self.vectors.T
         k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(cosines, -k, axis=1)[:, -k:]
-        votes = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6) ** SHARP
-        return (votes * self.labels[near]).sum(1) / votes.sum(1)
+        last = np.partition(cosines, -k, axis=1)[:, -k]
+        votes = np.where(cosines >= last[:, None], np.maximum(cosines, 1e-6) ** SHARP, 0)
+        return votes @ self.labels / votes.sum(1)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
