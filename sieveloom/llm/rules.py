@@ -6,8 +6,9 @@ PRECISION bits, so a quantile's relative error is at most 2^-PRECISION, and hist
 up exactly. From the histograms come quartiles, from these the fences (a quartile plus REACH
 interquartile ranges and a floor for each measure), and the fences are joined back to filter.
 
-The join is salted, so that a source with a third of the documents is dealt out; groups of fewer than
-FEW documents take the fences of all documents.
+A group's quartiles are drawn towards those of all documents as if it had PRIOR documents more that are spread like all:
+n documents weigh n : PRIOR, so that a small group's fences change smoothly as it grows. The join is salted, so that a
+source with a third of the documents is dealt out.
 
 Cases: a null text has no words; null languages and sources form groups of their own; texts with fewer words than
 the base rule fail it; repeated rows are judged each; an empty table gives no rows. The words are runs of
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 BLANK = "\\x20\\x09-\\x0D"
-PRECISION, REACH, FEW, SALTS = 10, 3, 50, 32
+PRECISION, REACH, PRIOR, SALTS = 10, 3, 50, 32
 #: Measures (in thousandths) with the floor added to their fences, and whether low values fail too.
 MEASURES = {"symbols": ("1000 * n_symbols div n_words", 300, False), "lines": ("1000 * n_dup_lines div n_lines", 300, False), "repeats": ("1000 * n_repeat_words div n_words", 250, False), "mean_chars": ("1000 * word_chars div n_words", 2500, True)}
 
@@ -73,12 +74,15 @@ def fences(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> Dat
     rank = f"partition by {', '.join(by)}, is_all, m"
     cells = cells.select("*", F.expr(f"sum(n) over ({rank} order by v)").alias("upto"), F.expr(f"sum(n) over ({rank})").alias("of"))
     quartiles = cells.groupBy(*by, "is_all", "m").agg(F.expr("min(v) filter (where 4 * upto >= of)").alias("q1"), F.expr("min(v) filter (where 4 * upto >= 3 * of)").alias("q3"), F.max("of").alias("n"))
+    whole = quartiles.where("is_all").selectExpr("m", "q1 as all_q1", "q3 as all_q3")  # a row for each measure
+    drawn = [f"(n * {q} + if(is_all, 0, {PRIOR}) * all_{q}) div (n + if(is_all, 0, {PRIOR})) as {q}" for q in ("q1", "q3")]
+    quartiles = quartiles.join(F.broadcast(whole), "m").selectExpr(*by, "is_all", "m", *drawn)
     columns = []
     for name, (_, floor, low) in MEASURES.items():
         columns.append(F.expr(f"max(q3 + {REACH} * (q3 - q1) + {floor}) filter (where m = '{name}')").alias(f"high_{name}"))
         if low:
             columns.append(F.expr(f"max(q1 - {REACH} * (q3 - q1) - {floor}) filter (where m = '{name}')").alias(f"low_{name}"))
-    return quartiles.groupBy(*by, "is_all").agg(F.max("n").alias("n"), *columns).where(F.expr(f"is_all or n >= {FEW}"))
+    return quartiles.groupBy(*by, "is_all").agg(*columns)
 
 
 def judge(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,10 +90,10 @@ def judge(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), key: str =
     measured = measures(docs.select(key, *by, text), text).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     measured = written(measured)
     limits = written(fences(measured, by))
-    whole = F.broadcast(limits.where("is_all").drop("is_all", "n", *by))  # one row at most
+    whole = F.broadcast(limits.where("is_all").drop("is_all", *by))  # one row at most
     for c in whole.columns:
         whole = whole.withColumnRenamed(c, f"all_{c}")
-    own = limits.where("not is_all").drop("is_all", "n")
+    own = limits.where("not is_all").drop("is_all")
     for c in by:
         own = own.withColumnRenamed(c, f"_{c}")
     own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -129,8 +133,9 @@ u AS ({' UNION ALL '.join(f"SELECT lang, source, '{name}' AS m, (v_{name} >> gre
 c AS (SELECT lang, source, FALSE AS a, m, v, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT NULL, NULL, TRUE, m, v, count(*) FROM u GROUP BY m, v),
 r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, a, m ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, source, a, m) AS total FROM c),
 q AS (SELECT lang, source, a, m, min(v) FILTER (WHERE 4 * upto >= total) AS q1, min(v) FILTER (WHERE 4 * upto >= 3 * total) AS q3, max(total) AS n FROM r GROUP BY ALL),
-f AS (SELECT lang, source, a, max(n) AS n, {', '.join(f"max({_high(name)}) FILTER (WHERE m = '{name}') AS high_{name}" + (f", max(q1 - {REACH} * (q3 - q1) - {MEASURES[name][1]}) FILTER (WHERE m = '{name}') AS low_{name}" if MEASURES[name][2] else "") for name in MEASURES)} FROM q GROUP BY ALL)
+q2 AS (SELECT q.lang, q.source, q.a, q.m, CASE WHEN q.a THEN q.q1 ELSE (q.n * q.q1 + {PRIOR} * g.q1) // (q.n + {PRIOR}) END AS q1, CASE WHEN q.a THEN q.q3 ELSE (q.n * q.q3 + {PRIOR} * g.q3) // (q.n + {PRIOR}) END AS q3 FROM q JOIN q g ON g.a AND g.m = q.m),
+f AS (SELECT lang, source, a, {', '.join(f"max({_high(name)}) FILTER (WHERE m = '{name}') AS high_{name}" + (f", max(q1 - {REACH} * (q3 - q1) - {MEASURES[name][1]}) FILTER (WHERE m = '{name}') AS low_{name}" if MEASURES[name][2] else "") for name in MEASURES)} FROM q2 GROUP BY ALL)
 SELECT v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed,
   NOT (v.base_failed OR {' OR '.join(f"coalesce(v_{name} > coalesce(o.high_{name}, w.high_{name}), FALSE)" + (f" OR coalesce(v_{name} < coalesce(o.low_{name}, w.low_{name}), FALSE)" if MEASURES[name][2] else "") for name in MEASURES)}) AS kept
-FROM v LEFT JOIN f o ON NOT o.a AND o.n >= {FEW} AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source LEFT JOIN f w ON w.a
+FROM v LEFT JOIN f o ON NOT o.a AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source LEFT JOIN f w ON w.a
 """
