@@ -5,11 +5,13 @@ other; its insults are stems and words learned from labels, beside a few given o
 reported speech, negation and target mark those insults and threats that stand in their scope, and a
 weighing transducer gives each marked symbol its factor. They are composed once into one machine that
 reads a clause from left to right; a clause counts by the heaviest match in it, so repeated words in
-one clause count once. A document's evidence is the sum over its clauses.
+one clause count once. A document's evidence is the sum over its clauses. A clause of one insult and nothing
+else that the grammar knows matches too, with factor 1: the toxic rows that it learns from hold insults among words of no meaning,
+where no other mark of a clause is left.
 
 Fitted on at most TOXIC and CLEAN labelled rows. Cases: null and empty texts score 0; without
 labelled rows of both kinds only the given words count; texts of any length are read whole; repeated
-rows score alike; further columns pass through.
+rows score alike; clauses of equal weight count each; further columns pass through.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from .labelled import fold, sample
 
 #: Labelled rows that the lexicon is learned from, at most.
 TOXIC, CLEAN = 4000, 8000
-#: Shortest and longest stems; most learned entries.
-STEMS, ENTRIES = range(4, 8), 2000
+#: Lengths of stems.
+STEMS = range(4, 8)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
-# Closed word lists of the four languages.
+#: The lexicon to start from, chosen here: function words of the four languages that open or aim a clause, and a few insults and threats beside the learned ones.
 GIVEN = {
     INSULT: "idiot idiots moron morons stupid imbecile scum scumbag bastard bastards asshole assholes bitch idiota imbécil estúpido estúpida pendejo cabrón idiotin dummkopf trottel arschloch abschaum connard connasse salaud abruti crétin",
     THREAT: "kill murder strangle shoot stab mataré matarte töten umbringen tuer tuerai égorger",
@@ -43,8 +45,8 @@ GIVEN = {
     NEGATION: "not no never isn't aren't wasn't don't nobody nicht kein keine nie ne pas jamais aucun nunca ningún ninguna jamás",
     REPORT: "said says claimed called reported quoted wrote alleged according sagte behauptete schrieb laut dit écrit selon affirmé dijo según escribió",
 }
-#: Evidence of a given insult or threat; the most that a learned entry can have.
-GIVEN_WEIGHT, MOST_WEIGHT = 2.0, 6.0
+#: Evidence of a given insult or threat. A learned one has its logarithm of odds.
+GIVEN_WEIGHT = 2.0
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?").findall
 _PART = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]+").findall
 
@@ -168,9 +170,10 @@ def learn(labelled: DataFrame, label: str = "toxic", text: str = "text") -> Gram
         return Grammar({})
     toxic, clean = totals["a"], totals["b"]
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
+    # Each entry is in 0.015 of the toxic rows at least, so there are at most 67 times as many as a toxic row has stems.
     support = max(2, math.ceil(0.015 * toxic))
-    rows = counts.where((F.col("stem") != "") & (F.col("a") >= support) & (F.col("a") / toxic >= 10 * F.col("b") / clean) & (odds >= 2.5)).orderBy(F.desc("a"), F.desc(odds), "stem").limit(ENTRIES).select("stem", odds.alias("w")).collect()
-    weights = {r["stem"]: min(MOST_WEIGHT, r["w"]) for r in rows}
+    rows = counts.where((F.col("stem") != "") & (F.col("a") >= support) & (F.col("a") / toxic >= 10 * F.col("b") / clean) & (odds >= 2.5)).select("stem", odds.alias("w")).collect()
+    weights = {r["stem"]: r["w"] for r in rows}
     return Grammar(_cover(labelled.where(F.col(label) == 1), weights, text))
 
 
@@ -179,24 +182,24 @@ def _cover(toxic: DataFrame, weights: dict[str, float], text: str) -> dict[str,
 
     Rows with the same entries are copies and count once, so that the rare words of a copied text explain nothing.
     """
-    names = sorted(weights, key=lambda s: (s.endswith("*"), -len(s), s))
+    names = sorted(weights, key=lambda s: (s.endswith("*"), -len(s), s))  # of equal gain, the first
     index = {s: k for k, s in enumerate(names)}
 
     def present(batches):
         for batch in batches:
-            sets = [np.array(sorted(index[s] for s in _stems(x.as_py()) if s in index), dtype="<u2").tobytes() for x in batch.column(0)]
+            sets = [np.array(sorted(index[s] for s in _stems(x.as_py()) if s in index), dtype="<u4").tobytes() for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary())], ["present"])
 
-    sets = [np.frombuffer(r["present"], "<u2") for r in toxic.select(text).mapInArrow(present, "present binary").distinct().collect()]
+    sets = [np.frombuffer(r["present"], "<u4") for r in toxic.select(text).mapInArrow(present, "present binary").distinct().collect()]
     has = np.zeros((len(sets), len(names)), dtype=bool)
     for k, found in enumerate(sets):
         has[k, found] = True
     want, weight = np.full(len(sets), 2), np.array([weights[s] for s in names])
     least, chosen = max(2, math.ceil(0.01 * len(sets))), {}
     while len(names):
-        gain = (want[:, None] > 0).T.astype(np.float32) @ has.astype(np.float32)
-        best = int(np.argmax(gain[0] * weight))
-        if gain[0, best] < least:
+        gain = has[want > 0].sum(axis=0)
+        best = int(np.argmax(gain * weight))
+        if gain[best] < least:
             break
         chosen[names[best]] = float(weight[best])
         want -= has[:, best]
