@@ -3,8 +3,9 @@
 For a vocabulary of merged byte pairs with word ends, the encoding of a word's prefix is the encoding
 of a shorter prefix plus one token, and which token is decided by the pair alone: a pair of tokens can
 stand side by side when merging its joined symbols gives that pair back. So one pass over a word's
-prefixes gives the exact count at every prefix; sums over words give it at every prefix of a text,
-and budgets and truncation points are looked up without encoding anything again.
+prefixes gives the exact count at every prefix; sums over words give it at every prefix of a text (table()).
+Each document's counts at the ends of its pretokens are kept as an array, in which budgets and truncation points are
+looked up without encoding anything again.
 
 Cases: a null text counts as empty; an empty text has no tokens; special tokens written in a text
 count as one each, as the library does by default; further columns stay as they are (a clash with an
@@ -16,12 +17,13 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import PLAIN, Neighbouring, byte_letters, splitter
 from .common import Remembered, blocks, table
@@ -97,15 +99,14 @@ class PrefixCounter:
             return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)] if normal else []
         return self.narrow(text.lower())
 
-    def total(self, text: str) -> int:
-        return sum(1 if special else sum(map(self.count.__getitem__, self.words(x))) for special, x in self.segments(text))
+    def counts(self, text: str) -> list[int]:
+        """Tokens of each pretoken and special token in turn."""
+        if self.special is None or "<|" not in text:
+            return list(map(self.count.__getitem__, self.words(text))) if text else []
+        return [c for special, x in self.segments(text) for c in ([1] if special else map(self.count.__getitem__, self.words(x)))]
 
-    def fits(self, text: str, budget: int) -> tuple[int, int]:
-        """(pretokens kept whole, their tokens): the longest prefix of whole pretokens with at most `budget` tokens."""
-        counts = [c for special, x in self.segments(text) for c in ([1] if special else map(self.count.__getitem__, self.words(x)))]
-        sums = [0, *accumulate(counts)]
-        k = bisect_right(sums, budget) - 1
-        return k, sums[k]
+    def total(self, text: str) -> int:
+        return sum(self.counts(text))
 
     def table(self, text: str) -> list[int]:
         """Tokens of every prefix of the normalised text, by characters, for texts without special tokens."""
@@ -132,33 +133,44 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", budget: int = 2048) -> DataFrame:
-    """df with n_bytes, n_tokens, over_limit, and for truncation kept_words and kept_tokens: the longest prefix of whole pretokens within the budget."""
-    kept = [c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit", "kept_words", "kept_tokens") and c != text]
-    source = df.select(F.struct(*kept).alias("row") if kept else F.lit(None).cast("string").alias("row"), F.col(text).cast("string").alias("text"))
-    schema = source.select("row").schema
-    schema = schema.add("n_bytes", "long").add("n_tokens", "long").add("kept_words", "long").add("kept_tokens", "long")
+    """df with n_bytes, prefix_tokens, and by look-up there: n_tokens, over_limit, kept_words, kept_tokens.
+
+    prefix_tokens has the exact count of tokens at the end of each pretoken of the text, so it answers
+    any budget: see kept(). kept_words (null where all are kept) and kept_tokens are the longest prefix of whole pretokens within `budget`.
+    """
+    own = ("n_bytes", "n_tokens", "over_limit", "kept_words", "kept_tokens", "prefix_tokens")
+    rest = [c for c in df.columns if c not in own and c != text]
+    source = df.select(F.struct(*rest).alias("row") if rest else F.lit(None).cast("string").alias("row"), F.col(text).cast("string").alias("text"))
+    schema = source.select("row").schema.add("n_bytes", "long").add("prefix_tokens", T.ArrayType(T.LongType()))
 
     def run(batches):
         c = counter(path)
         for batch in batches:
-            sizes, counts, words, tokens = [], [], [], []
+            at = 0
             for (texts,) in blocks([batch.select([1])], 0):
-                for x in texts:
-                    x = x or ""
-                    n = c.total(x)
-                    sizes.append(len(x.encode("utf-8")))
-                    counts.append(n)
-                    k, t = (None, n) if n <= budget else c.fits(x, budget)
-                    words.append(k)
-                    tokens.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (sizes, counts, words, tokens))], ["row", "n_bytes", "n_tokens", "kept_words", "kept_tokens"])
+                sizes = [len(x.encode("utf-8")) if x else 0 for x in texts]
+                counts = [c.counts(x or "") for x in texts]
+                ends = np.cumsum([0, *map(len, counts)])
+                sums = np.cumsum(np.fromiter(chain.from_iterable(counts), np.int64, int(ends[-1])))
+                before = np.concatenate([[0], sums])[ends[:-1]]
+                tables = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sums - np.repeat(before, np.diff(ends))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), tables], ["row", "n_bytes", "prefix_tokens"])
+                at += len(texts)
+
+    out = source.mapInArrow(run, schema).withColumn("n_tokens", F.coalesce(F.get("prefix_tokens", F.size("prefix_tokens") - 1), F.lit(0)))
+    over = F.col("n_tokens") > budget
+    words = kept("prefix_tokens", budget)
+    out = out.withColumns({"over_limit": over, "kept_words": F.when(over, words), "kept_tokens": F.when(over, F.coalesce(F.get("prefix_tokens", words - 1), F.lit(0))).otherwise(F.col("n_tokens"))})
+    return out.select(*(["row.*"] if rest else []), *own)
+
 
-    out = source.mapInArrow(run, schema)
-    return out.select(*(["row.*"] if kept else []), "n_bytes", "n_tokens", (F.col("n_tokens") > budget).alias("over_limit"), "kept_words", "kept_tokens")
+def kept(prefix_tokens: str, budget: int) -> Column:
+    """How many whole pretokens a budget of tokens keeps."""
+    return F.size(F.filter(prefix_tokens, lambda x: x <= budget)).cast("long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("prefix_tokens")
