@@ -6,7 +6,8 @@ from. White space becomes the visible space mark, pieces are merged by score, un
 back to bytes, and each piece is projected through the alignment to a span of source bytes.
 
 Cases: a null or empty text has no pieces and decodes to the empty text; texts of any length are
-handled whole; extra columns stay; repeated rows are encoded each.
+handled whole; extra columns are left out, so none clashes; repeated rows and rows of null ids are encoded each; of pieces of
+equal score the leftmost merge comes first; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,40 +95,41 @@ class Pieces:
         """The normalised text, source byte of each normalised byte and of the end (None: the same bytes, but for space marks), source bytes skipped at the start."""
         if not self.map.units and not self.trim:
             return ((SPACE if self.dummy else "") + text.replace(" ", SPACE) if text else ""), None, 0
-        data, at, out, source = text.encode("utf-8"), 0, [], []
+        data, at, source, normal = text.encode("utf-8"), 0, [], bytearray()
         mark = SPACE.encode("utf-8")
-        while at < len(data):
-            hit = self.map.longest(data, at)
-            if hit is None:
-                lead = data[at]
-                length = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                hit = length, data[at : at + length]
-            out.append((at, hit[1]))
+
+        def put(x: bytes) -> None:
+            nonlocal normal
+            normal += x
+            source.extend([at] * len(x))
+
+        hit = self._mapped(data, 0)
+        while self.trim and hit and hit[1] == b" ":
+            at += hit[0]
+            hit = self._mapped(data, at)
+        skipped, spaced = at, self.trim
+        if hit and self.dummy:
+            put(mark)
+        while hit:
+            piece = hit[1].lstrip(b" ") if spaced else hit[1]
+            put(piece.replace(b" ", mark))
+            if piece:
+                spaced = self.trim and piece.endswith(b" ")
             at += hit[0]
-        if self.trim:
-            while out and out[0][1] in (b" ", b""):
-                out.pop(0)
-            while out and out[-1][1] in (b" ", b""):
-                at = out.pop()[0]
-        skipped = out[0][0] if out else 0
-        normal = bytearray()
-        if self.dummy and out:
-            normal += mark
-            source += [skipped] * len(mark)
-        spaced = False
-        for start, piece in out:
-            for b in piece:
-                if b == 0x20:
-                    if self.trim and spaced:
-                        continue
-                    normal += mark
-                    source += [start] * len(mark)
-                else:
-                    normal.append(b)
-                    source.append(start)
-                spaced = b == 0x20
+            hit = self._mapped(data, at)
+        while self.trim and normal.endswith(mark):
+            at = source[-len(mark)]
+            del normal[-len(mark) :], source[-len(mark) :]
         return normal.decode("utf-8"), np.array([*source, at], dtype=np.int32), skipped
 
+    def _mapped(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """Bytes taken at `at`, and what stands for them: a character without an entry for itself; None at the end."""
+        if at >= len(data):
+            return None
+        lead = data[at]
+        length = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        return self.map.longest(data, at) or (length, data[at : at + length])
+
     def _rank(self, left: str, right: str) -> float | None:
         return self.score.get(left + right)
 
@@ -248,4 +250,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.element_at("bounds", -1).cast("long").alias("n_source_bytes"),
+        F.xxhash64("bounds").alias("spans_xxhash64"),
     )
