@@ -10,12 +10,13 @@ whose lengths are powers of two, which need no padding.
 Tasks pack their own rows with a bounded number of waiting examples, so nothing is shuffled;
 sequence ids carry the task's number. Which tokens bear loss comes as spans of the text (as windows() of chat
 gives them); without spans all tokens do. Cases: a null or empty text is the single end id; texts of any
-length are tokenised whole; repeated rows are packed each; an empty table gives no pieces.
+length are tokenised whole; repeated rows and rows of null ids are packed each; of equal products the example that has waited longest
+is taken; extra columns are left out, so none clashes; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import SPACED
+from .bpe import SPACED, byte_letters
 from .common import blocks, table
 
 #: Examples that wait in a task before sequences are filled, and after.
@@ -150,14 +151,25 @@ class Packer:
 
 
 def encoding(path: str):
-    """The ranks of a byte-level vocabulary; the end-of-text string in a text is its id, as the vocabulary's library does by default."""
+    """The byte-level vocabulary of a tokenizers file, with its merges done by a faster engine.
+
+    Such a file lists its merges in the order of the ids that they make, so ids are ranks. Special strings in a text are their ids, as
+    the file's library does by default.
+    """
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    return tiktoken.Encoding("packing", pat_str=SPACED, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+    spec = json.load(open(path, encoding="utf-8"))
+    made = [a + b for a, b in (x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"])]
+    ids, special = spec["model"]["vocab"], {x["content"]: x["id"] for x in spec["added_tokens"]}
+    order = [ids[x] for x in made]
+    if spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec["normalizer"] or order != sorted(order):
+        raise ValueError("not a byte-level vocabulary whose ids follow its merges")
+    letters = {c: b for b, c in byte_letters().items()}
+    ranks = {bytes(map(letters.__getitem__, x)): k for x, k in ids.items() if x not in special}
+    return tiktoken.Encoding("packing", pat_str=SPACED, mergeable_ranks=ranks, special_tokens=special)
 
 
-def pack(df: DataFrame, ranks: str, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", end: int | None = 0, loss: str | None = None) -> DataFrame:
+def pack(df: DataFrame, path: str, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", end: int | None = 0, loss: str | None = None) -> DataFrame:
     """(key, start, length, ids, doc_tokens, sequence_id, offset) of every piece; ids are unsigned 32-bit little-endian numbers.
 
     With `loss`, a column of spans that bear loss, array<struct<start, length>> in code points of the text from 1, also
@@ -167,7 +179,7 @@ def pack(df: DataFrame, ranks: str, limits: Limits = Limits(), key: str = "doc_i
     schema = f"{key} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long" + (", loss_mask binary, loss_tokens long" if loss else "")
 
     def run(batches):
-        coder = encoding(ranks)
+        coder = encoding(path)
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
 
         def done():
@@ -205,5 +217,5 @@ def pack(df: DataFrame, ranks: str, limits: Limits = Limits(), key: str = "doc_i
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
