@@ -1,25 +1,29 @@
-"""Stupid-backoff language-model scores of every document under the corpus's own n-gram counts.
+"""Stupid-backoff language-model scores of every document under the n-gram counts of all other documents.
 
 The n-grams of a run of documents (a block) are exploded and counted within the block; the counts go
-to parts of the n-gram tables by hash, where the counts of all blocks are added up; the totals are
+to parts of the n-gram count tables by hash, where the counts of all blocks are added up; the totals are
 joined back to the exploded n-grams of each block; scores are summed per document. A word after its
-history scores count(n-gram) / count(history) if the n-gram was seen at least `cutoff` times, else 0.4 times
-its score after the shorter history, down to count(word) / words (Brants et al. 2007). Histories have up to
-`order` - 1 words. The documents scored are those counted, so with a cutoff of 1 no score would back off.
+history scores count(n-gram) / count(history) if the n-gram was seen, else 0.4 times its score after the
+shorter history, down to count(word) / words, and 0.4 / words for a word that was not seen (Brants et al. 2007).
+Histories have up to `order` - 1 words.
 
-A block sends each n-gram once, so an n-gram that holds a third of all places is as many rows as there are
-blocks; the number of parts follows the number of blocks. N-grams are told apart by 48 bits of their hashes
-and their part, 52 bits at least, and more as the input grows.
+The documents scored are those counted, so each n-gram would be seen once at least and nothing would back off.
+Hence counts leave out the document's own (`others`): a document is scored by what all others have.
+
+A block sends each n-gram once, so an n-gram that holds a third of all places is in one row for each
+block; the number of parts follows the number of blocks, and n-grams go packed, one row for a block and part, as
+differences of sorted hashes. N-grams are told apart by hashes of 64 bits, or of fewer where so few n-grams there are that two of
+them would hardly share the upper bits: twice the logarithm of the number of characters.
 
 Cases: words are runs of characters other than space, tab, line feed, vertical tab, form feed and
-carriage return; a null text or one without words has no words and a score of 0 and a null mean; repeated rows are
-documents each and all counted; texts of any length are scored whole; an empty table gives no rows.
+carriage return; a null text or one without words has no words and a score of 0 and a null mean; a null id is an id like others;
+repeated rows are documents each, all counted, and see each other; texts of any length are scored whole; extra columns are left out; an
+empty table gives no rows; a document alone in its table backs off in every place.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,26 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, blocks, table, written
+from .common import blocks, table, written
+from .words import mixed, word_hashes
 
-#: Defaults; op1_trigram_scoring runs with TRIGRAM.
-ORDER, CUTOFF, BACKOFF = 2, 2, 0.4
-TRIGRAM = 3
+ORDER, BACKOFF = 3, 0.4
 #: Characters of a block.
 BLOCK_SIZE = 6_000_000
 
-_WORD = re.compile(r"[^\x20\x09-\x0d]+").findall
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-
-
-_hashes = Remembered(_hash)
-
 
 def _packed(array: np.ndarray) -> bytes:
     """Compressed by planes: all first bytes, all second bytes and so on."""
@@ -63,171 +54,174 @@ def _unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _short(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of each."""
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def _binary(*parts: bytes) -> list[pa.Array]:
+    return [pa.array([x], pa.binary()) for x in parts]
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _binary(*arrays: np.ndarray) -> list[pa.Array]:
-    return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+_BLOCK = "block long, keys array<long>, sizes binary, vocabulary binary, words binary"
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Blocks: (block, keys int64[], sizes int64[] words of each document, vocabulary uint64[] hashes, words packed int32[] places in the vocabulary, n_words)."""
+    """Blocks: the keys of their documents, and packed: words of each document, hashes of the block's words by frequency, and each word's place there."""
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
         for keys, texts in (x for batch in batches for x in blocks([batch], 1, BLOCK_SIZE)):
-            words = [_WORD(x) if x else [] for x in texts]
-            sizes = np.array([len(w) for w in words], dtype=np.int64)
-            hashes = np.fromiter((h for w in words for h in map(_hashes.__getitem__, w)), dtype=np.uint64, count=int(sizes.sum()))
+            hashes, sizes = word_hashes(texts, "blanks")
             vocabulary, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
             order = np.argsort(-counts, kind="stable")  # frequent words have small numbers
-            rank = np.empty(len(order), dtype=np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), *_binary(np.array(keys, dtype=np.int64), sizes, vocabulary[order]), pa.array([_packed(rank[at])], pa.binary()), pa.array([len(at)], pa.int64())], ["block", "keys", "sizes", "vocabulary", "words", "n_words"])
+            rank = np.empty(len(order), dtype=np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([keys], pa.list_(pa.int64())), *_binary(_packed(sizes), vocabulary[order].tobytes(), _packed(rank[at]))], ["block", "keys", "sizes", "vocabulary", "words"])
             k += 1
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "block long, keys binary, sizes binary, vocabulary binary, words binary, n_words long")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, _BLOCK)
 
 
 class Block:
-    """N-grams of a block: their hashes at each place (order 1 at all places, order n where n - 1 words of the document stand before)."""
+    """N-grams of a block: their hashes at each place (order n where n - 1 words of the document stand before)."""
 
-    def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, order: int):
-        self.sizes = np.frombuffer(sizes, np.int64)
+    def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, order: int, hashed: int):
+        self.hashed = hashed
+        self.sizes = _unpacked(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
-        word = np.frombuffer(vocabulary, np.uint64)[_unpacked(words, np.int32)]
+        word = np.frombuffer(vocabulary, np.uint64)[_unpacked(words, np.uint32)]
+        self.document = np.repeat(np.arange(len(self.sizes), dtype=np.uint64), self.sizes)
         self.place = np.arange(len(word)) - np.repeat(self.ends - self.sizes, self.sizes)
         self.hashes = [word]
         for _ in range(order - 1):
             longer = np.zeros(len(word), dtype=np.uint64)
-            longer[1:] = (self.hashes[-1][:-1] * _MIX) ^ (word[1:] + (word[1:] << np.uint64(23)))
-            longer[1:] ^= longer[1:] >> np.uint64(32)
-            self.hashes.append(longer * _MIX)
+            longer[1:] = mixed(self.hashes[-1][:-1] * np.uint64(3) + word[1:])
+            self.hashes.append(longer)
 
     def whole(self, n: int) -> np.ndarray:
         """Places that have an n-gram."""
-        return self.place >= n - 1
+        return np.flatnonzero(self.place >= n - 1)
+
+    def grams(self, n: int) -> np.ndarray:
+        """The n-gram at each of these places."""
+        return self.hashes[n - 1][self.whole(n)] >> np.uint64(64 - self.hashed)
 
-    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.unique(self.hashes[n - 1][self.whole(n)], return_inverse=True, return_counts=True)
+    def own(self, n: int) -> np.ndarray:
+        """How often the document itself has the n-gram of each of these places."""
+        at = self.whole(n)
+        _, back, counts = np.unique(mixed(self.hashes[n - 1][at] + self.document[at] * np.uint64(0xD6E8FEB86659FD93)), return_inverse=True, return_counts=True)
+        return counts[back]
 
 
-def _requests(parts: int, longest: int):
+def _requests(bits: int, order: int, hashed: int):
+    """A row for a block and part: for each n the block's n-grams there, as differences in order, and their counts."""
+
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                block, _, sizes, vocabulary, words = (c[k].as_py() for c in batch.columns[:5])
-                b = Block(sizes, vocabulary, words, longest)
-                for n in range(1, longest + 1):
-                    found, _, counts = b.distinct(n)
-                    at = found % np.uint64(parts)
-                    order = np.argsort(at, kind="stable")
-                    cuts = np.searchsorted(at[order], np.arange(parts + 1))
-                    rows = [(p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([n] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([_short(found[i]) for _, i in rows], pa.binary()), pa.array([counts[i].astype(np.int32).tobytes() for _, i in rows], pa.binary())],
-                        ["n", "part", "block", "hashes", "counts"],
-                    )
+            for row in batch.to_pylist():
+                b = Block(row["sizes"], row["vocabulary"], row["words"], order, hashed)
+                parts = np.arange(1 << bits, dtype=np.uint64)
+                tables = []
+                for n in range(1, order + 1):
+                    found, counts = np.unique(b.grams(n), return_counts=True)
+                    cuts = np.append(np.searchsorted(found, parts << np.uint64(hashed - bits)), len(found))
+                    tables.append((found, counts.astype(np.uint32), cuts))
+                rows = []
+                for p in range(1 << bits):
+                    cells = []
+                    for found, counts, cuts in tables:
+                        own = found[cuts[p] : cuts[p + 1]] - (np.uint64(p) << np.uint64(hashed - bits))
+                        cells += [_packed(np.diff(own, prepend=np.uint64(0))), _packed(counts[cuts[p] : cuts[p + 1]])]
+                    if any(cuts[p] < cuts[p + 1] for _, _, cuts in tables):
+                        rows.append((p, cells))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([c for _, c in rows], pa.list_(pa.binary()))], ["part", "block", "cells"])
 
     return run
 
 
-def _joined(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A part of the count table of order n, built from the counts of all blocks and joined to their n-grams."""
-    rows = [r for batch in batches for r in batch.select(["n", "part", "block", "hashes", "counts"]).to_pylist()]
-    hashes = [_long(r["hashes"]) for r in rows]
-    found, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows]), minlength=len(found)).astype(np.int64)
-    cuts = np.cumsum([0, *map(len, hashes)])
-    for k, r in enumerate(rows):
-        yield pa.RecordBatch.from_arrays([pa.array([r["n"]], pa.int32()), pa.array([r["part"]], pa.int32()), pa.array([r["block"]], pa.int64()), pa.array([_packed(total[at[cuts[k] : cuts[k + 1]]])], pa.binary())], ["n", "part", "block", "totals"])
+def _joined(order: int):
+    """A part of the count tables, built from the counts of all blocks and joined to their n-grams."""
 
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, names, cells = [], [], []
+        for batch in batches:
+            parts += batch.column("part").to_pylist()
+            names += batch.column("block").to_pylist()
+            cells += batch.column("cells").to_pylist()
+        replies = [[] for _ in names]
+        for n in range(order):
+            grams = [np.cumsum(_unpacked(c[2 * n], np.uint64)) for c in cells]
+            found, at = np.unique(np.concatenate(grams), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([_unpacked(c[2 * n + 1], np.uint32) for c in cells]), minlength=len(found)).astype(np.uint32)[at]
+            for reply, x in zip(replies, np.split(total, np.cumsum([len(g) for g in grams])[:-1]), strict=True):
+                reply.append(_packed(x))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(names, pa.int64()), pa.array(replies, pa.list_(pa.binary()))], ["part", "block", "totals"])
+
+    return run
+
+
+_SCORES = "key long, n_words long, logs double, bases long"
+
+
+def _scored(order: int, hashed: int, others: bool):
+    """Of each document the sum of logarithms without those of the number of words, and in how many places that one is to be taken off."""
 
-def _scored(parts: int, words: int, longest: int, cutoff: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "bases": pa.array([], pa.int64())})
         row = left.to_pylist()[0]
-        b = Block(row["sizes"], row["vocabulary"], row["words"], longest)
-        replies = {(r["n"], r["part"]): _unpacked(r["totals"], np.int64) for r in right.to_pylist()}
-        counts = []
-        for n in range(1, longest + 1):
-            found, at, _ = b.distinct(n)
-            part = found % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            totals = np.zeros(len(found), dtype=np.int64)
-            if len(found):
-                totals[order] = np.concatenate([replies[n, p] for p in sorted(set(part.tolist()))])
-            full = np.zeros(len(b.place), dtype=np.int64)
-            full[b.whole(n)] = totals[at]
-            counts.append(full)
-        score = np.log(np.maximum(counts[0], 1)) - math.log(max(1, words))
-        for n in range(2, longest + 1):
-            history = np.ones(len(score), dtype=np.int64)
-            history[1:] = counts[n - 2][:-1]
-            seen = b.whole(n) & (counts[n - 1] >= cutoff)
-            shorter = np.where(b.whole(n), score + math.log(BACKOFF), score)
-            score = np.where(seen, np.log(np.maximum(counts[n - 1], 1)) - np.log(np.maximum(history, 1)), shorter)
-        sums = np.zeros(len(b.sizes))
+        b = Block(row["sizes"], row["vocabulary"], row["words"], order, hashed)
+        replies = sorted(zip(right["part"].to_pylist(), right["totals"].to_pylist(), strict=True))
+        score, history, base = np.full(len(b.place), math.log(BACKOFF)), None, np.ones(len(b.place), dtype=np.int64)
+        for n in range(1, order + 1):
+            at = b.whole(n)
+            counts = np.zeros(len(score), dtype=np.int64)
+            if len(at):
+                _, back = np.unique(b.grams(n), return_inverse=True)
+                total = np.concatenate([_unpacked(t[n - 1], np.uint32) for _, t in replies]).astype(np.int64)
+                counts[at] = total[back] - (b.own(n) if others else 0)
+            seen = np.flatnonzero(counts)
+            if n == 1:
+                score[seen] = np.log(counts[seen])
+            else:
+                score[at] += math.log(BACKOFF)
+                score[seen] = np.log(counts[seen]) - np.log(history[seen])
+                base[seen] = 0
+            history = np.concatenate([[1], counts[:-1]])
+        logs, bases = np.zeros(len(b.sizes)), np.zeros(len(b.sizes), dtype=np.int64)
         some = b.sizes > 0
         if some.any():
-            sums[some] = np.add.reduceat(score, (b.ends - b.sizes)[some])
-        return pa.table({"key": pa.array(np.frombuffer(row["keys"], np.int64)), "n_words": pa.array(b.sizes), "score": pa.array(sums)})
+            logs[some], bases[some] = (np.add.reduceat(x, (b.ends - b.sizes)[some]) for x in (score, base))
+        return pa.table({"key": pa.array(row["keys"], pa.int64()), "n_words": pa.array(b.sizes), "logs": pa.array(logs), "bases": pa.array(bases)})
 
     return run
 
 
-def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, cutoff: int = CUTOFF) -> DataFrame:
-    """(key, n_words, score): score is the sum of natural logarithms over the document's words, under n-grams of up to `order` words."""
-    cut = written(exploded(docs, key, text))
-    n, words = cut.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    parts = max(16, 1 << max(0, n - 1).bit_length())
-    replies = cut.mapInArrow(_requests(parts, order), "n int, part int, block long, hashes binary, counts binary").groupBy("part", "n").applyInArrow(_joined, "n int, part int, block long, totals binary")
-    out = cut.drop("n_words").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(parts, words, order, cutoff), "key long, n_words long, score double")
-    return out.withColumnRenamed("key", key)
-
+def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, others: bool = True) -> DataFrame:
+    """(key, n_words, score): score is the sum of natural logarithms over the document's words, under n-grams of up to `order` words.
 
-def _rounded(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("mean_score"))
+    With `others` a document's own n-grams are left out of the counts it is scored by.
+    """
+    chars = max(2, docs.select(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0)
+    bits, hashed = max(4, math.ceil(math.log2(chars / BLOCK_SIZE))), min(64, 2 * math.ceil(math.log2(chars)) - 2)
+    hashed = max(hashed, bits + 16)
+    cut = exploded(docs, key, text).repartition("block")  # both uses below read the same exchange
+    replies = cut.mapInArrow(_requests(bits, order, hashed), "part int, block long, cells array<binary>").groupBy("part").applyInArrow(_joined(order), "part int, block long, totals array<binary>")
+    out = written(cut.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(order, hashed, others), _SCORES))
+    words = out.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    rest = F.greatest(F.lit(words) - (F.col("n_words") if others else 0), F.lit(1))
+    return out.select(F.col("key").alias(key), "n_words", (F.col("logs") - F.col("bases") * F.log(rest)).alias("score"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(backoff_scores(table(spark, sf_dir, "documents")))
-
-
-def op1_trigram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(backoff_scores(table(spark, sf_dir, "documents"), order=TRIGRAM))
+    out = backoff_scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("mean_score"))
 
 
 #: The same in DuckDB.
 ORACLE_OP1 = f"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
-u AS (SELECT b AS g, count(*) AS c FROM p GROUP BY b), n AS (SELECT count(*) AS n FROM p),
-bi AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b),
-s AS (SELECT p.doc_id, CASE WHEN p.a IS NULL THEN ln(u.c) - ln(n.n) WHEN bi.c >= {CUTOFF} THEN ln(bi.c) - ln(h.c) ELSE ln(u.c) - ln(n.n) + ln({BACKOFF}) END AS x
-  FROM p CROSS JOIN n JOIN u ON u.g = p.b LEFT JOIN bi ON bi.a = p.a AND bi.b = p.b LEFT JOIN u h ON h.g = p.a),
-d AS (SELECT doc_id, count(*) AS k, sum(x) AS x FROM s GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(d.x, 0), 4) AS score, round(d.x / d.k, 6) AS mean_score FROM w LEFT JOIN d ON d.doc_id = w.doc_id
-"""
-
-#: Of trigrams.
-ORACLE_OP1_TRIGRAM = f"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a, CASE WHEN i > 2 THEN w[i - 2] END AS z FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
-u AS (SELECT b AS g, count(*) AS c FROM p GROUP BY b), n AS (SELECT count(*) AS n FROM p),
-bi AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b),
-tri AS (SELECT z, a, b, count(*) AS c FROM p WHERE z IS NOT NULL GROUP BY z, a, b),
-s AS (SELECT p.doc_id, p.z, tri.c AS c3, h2.c AS c2, CASE WHEN p.a IS NULL THEN ln(u.c) - ln(n.n) WHEN bi.c >= {CUTOFF} THEN ln(bi.c) - ln(h.c) ELSE ln(u.c) - ln(n.n) + ln({BACKOFF}) END AS x
-  FROM p CROSS JOIN n JOIN u ON u.g = p.b LEFT JOIN bi ON bi.a = p.a AND bi.b = p.b LEFT JOIN u h ON h.g = p.a LEFT JOIN tri ON tri.z = p.z AND tri.a = p.a AND tri.b = p.b LEFT JOIN bi h2 ON h2.a = p.z AND h2.b = p.a),
-d AS (SELECT doc_id, count(*) AS k, sum(CASE WHEN z IS NULL THEN x WHEN c3 >= {CUTOFF} THEN ln(c3) - ln(c2) ELSE x + ln({BACKOFF}) END) AS x FROM s GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(d.x, 0), 4) AS score, round(d.x / d.k, 6) AS mean_score FROM w LEFT JOIN d ON d.doc_id = w.doc_id
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a, greatest(n.n - len(w), 1) AS others FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w) CROSS JOIN (SELECT sum(len(w)) AS n FROM w) n),
+k AS (SELECT r, i, a, b, others, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) AS one, count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY r, b, c) AS two, count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY r, a, b, c) AS three FROM p),
+h AS (SELECT *, lag(one) OVER (PARTITION BY r ORDER BY i) AS one_before, lag(two) OVER (PARTITION BY r ORDER BY i) AS two_before FROM k),
+s1 AS (SELECT *, CASE WHEN one > 0 THEN ln(one) - ln(others) ELSE ln({BACKOFF}) - ln(others) END AS x FROM h),
+s2 AS (SELECT *, CASE WHEN b IS NULL THEN x WHEN two > 0 THEN ln(two) - ln(one_before) ELSE x + ln({BACKOFF}) END AS y FROM s1),
+d AS (SELECT r, count(*) AS n, sum(CASE WHEN a IS NULL THEN y WHEN three > 0 THEN ln(three) - ln(two_before) ELSE y + ln({BACKOFF}) END) AS x FROM s2 GROUP BY r)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(d.x, 0), 4) AS score, round(d.x / d.n, 6) AS mean_score FROM w LEFT JOIN d ON d.r = w.r
 """

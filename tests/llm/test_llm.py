@@ -11,19 +11,20 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sieveloom.llm import queries
 from sieveloom.llm.chat import read_back, windows
 from sieveloom.llm.common import components, table
-from sieveloom.llm.embeddings import near_vectors
+from sieveloom.llm.embeddings import candidates, near_vectors
 from sieveloom.llm.lm import backoff_scores
 from sieveloom.llm.minhash import deduplicate, near_duplicates
-from sieveloom.llm.packing import Limits, Packer, pack
+from sieveloom.llm.packing import Limits, Packer, encoding, pack
 from sieveloom.llm.pieces import CharacterMap, Pieces, encode_pieces
-from sieveloom.llm.quality import classify_quality
-from sieveloom.llm.rules import judge
-from sieveloom.llm.token_counts import PrefixCounter, count_tokens
+from sieveloom.llm.quality import classify_quality, shape
+from sieveloom.llm.rules import fences, judge, measures
+from sieveloom.llm.token_counts import PrefixCounter, count_tokens, kept
 from sieveloom.llm.toxicity import INSULT, Grammar, classify_toxicity
 
 from ..conftest import DATA
@@ -51,15 +52,16 @@ def test_token_counts_and_all_prefixes(hostile):
     for x in [x for x in hostile if "<|" not in x and len(x) < 60][:60]:
         normal = c.library.normalizer.normalize_str(x) if x else ""
         assert c.table(x) == [size(normal[:k]) for k in range(len(normal) + 1)]
-    k, n = c.fits("one two three four five", 3)
-    assert (k, n) == (3, 3)
 
 
 def test_token_count_columns(spark, docs):
     rows = count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
     assert len(rows) == docs.count() and rows[0].n_tokens == rows[0].n_bytes == 0 and rows[0].score == 7
     long = next(r for r in rows if r.doc_id == 12)
-    assert long.over_limit and long.kept_tokens <= 2048
+    assert long.over_limit and long.kept_tokens <= 2048 and long.prefix_tokens[long.kept_words - 1] == long.kept_tokens and long.prefix_tokens[long.kept_words] > 2048
+    c = PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+    other = count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("k", kept("prefix_tokens", 100)).where("doc_id = 12").first()
+    assert other.n_tokens == other.prefix_tokens[-1] == c.total(TEXTS[12]) and other.prefix_tokens[other.k - 1] <= 100 < other.prefix_tokens[other.k]
 
 
 def test_pieces(spark, docs, hostile):
@@ -84,6 +86,26 @@ def test_character_map():
     assert m.longest(b"xa", 1) == (1, b"bc") and m.longest(b"xa", 0) is None and CharacterMap(b"").longest(b"a", 0) is None
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_pieces_with_a_compiled_map(tmp_path, hostile, rule):
+    """The public model has no map, so it is given the library's own ones."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model, maps = pb.ModelProto(), pb.ModelProto()
+    model.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    maps.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.CopyFrom(maps.normalizer_spec)
+    path = str(tmp_path / "mapped.model")
+    open(path, "wb").write(model.SerializeToString())
+    own, library = Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(6)
+    odd = ["".join(rng.choices("ﬁ½Åå①ｶﾞ㍿ǅ ­​\u3000\u0301eEſK‥…™ﷺ가각 \t\x01日", k=rng.randint(1, 25))) for _ in range(800)]
+    for x in [*hostile, *odd]:
+        ids, bounds = own.encode(x)
+        assert ids.tolist() == library.encode(x), x
+        assert bounds[1:].tolist() == [p.end for p in library.encode(x, return_type="proto").pieces], x
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, duck, same, name):
     same(queries.QUERIES[name](spark, DATA).toPandas(), duck.execute(queries.ORACLE[name]).df())
@@ -92,7 +114,7 @@ def test_sql(spark, duck, same, name):
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert near_duplicates(none).count() == judge(none).count() == backoff_scores(none).count() == pack(none, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert near_duplicates(none).count() == judge(none).count() == backoff_scores(none).count() == pack(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert classify_quality(none, labels).count() == classify_toxicity(none, labels).count() == 0
     assert windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
@@ -120,6 +142,23 @@ def test_held_out(spark, op, label, fold, held):
     assert sum(r.predicted == r[label] for r in out) >= 0.93 * len(out)
 
 
+def test_shape_of_long_words():
+    assert shape("a" * 64 + "##") != shape("a" * 70) and shape("a" * 5000) == "L"
+
+
+def test_group_fences_move_smoothly(spark):
+    """Own quartiles weigh n : PRIOR, without a step."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=n)) for _ in range(60))
+    rows = [(k, text(rng.randint(3, 6)), "en", "a") for k in range(600)] + [(1000 + k, text(12), "en", "b") for k in range(60)]
+    bounds = []
+    for n in (10, 30, 49, 50, 60):
+        some = spark.createDataFrame([r for r in rows if r[0] < 1000 + n], "doc_id long, text string, lang string, source string")
+        measured = measures(some).withColumn("base_failed", F.lit(False))
+        bounds.append(fences(measured).where("source = 'b'").first().high_mean_chars)
+    assert abs(bounds[3] - bounds[2]) < 200 < abs(bounds[-1] - bounds[0])
+
+
 def test_grammar():
     g = Grammar({"zork*": 4.0}, 4.0)
     assert g.read["zorkish"][0] == INSULT
@@ -128,29 +167,79 @@ def test_grammar():
     assert g.evidence("kill the process") == 0 < g.evidence("they will kill you; you will kill")
 
 
-def brute(texts, least):
-    """Components of exact links, by unweighted Jaccard similarity of word shingles with counts."""
+def links_of(texts, least, common=1 / 128):
+    """Exact links (a, b) by weighted Jaccard similarity of TF-IDF shingles, and the smallest member of each one's component."""
     shingles = {}
     for k, x in texts.items():
-        w = re.findall(r"[^\W_]+", x.lower())
-        shingles[k] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-    return {(a, b): sum((shingles[a] & shingles[b]).values()) / max(1, sum((shingles[a] | shingles[b]).values())) for a in texts for b in texts if a < b}
+        w = re.findall(r"[^\W_]+", (x or "").lower())
+        shingles[k] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    share = Counter(g for c in shingles.values() for g in c)
+    weight = {g: 1 + np.log(1 / min(1, max(common, n / len(texts)))) / np.log(1 / common) for g, n in share.items()}
+    weighted = {k: {g: n * weight[g] for g, n in c.items()} for k, c in shingles.items()}
+    total, holders = {k: sum(c.values()) for k, c in weighted.items()}, {}
+    for k, c in weighted.items():
+        for g in c:
+            holders.setdefault(g, []).append(k)
+    shared = Counter()
+    for g, ks in holders.items():
+        for i, a in enumerate(ks):
+            for b in ks[i + 1 :]:
+                shared[min(a, b), max(a, b)] += min(weighted[a][g], weighted[b][g])
+    sims = {p: x / (total[p[0]] + total[p[1]] - x) for p, x in shared.items()}
+    root = {k: k for k in texts}
+    links = {p for p, x in sims.items() if x >= least}
+    for _ in texts:
+        moved = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+        if not moved:
+            break
+    return sims, root
 
 
-def test_near_duplicates(spark):
-    rng = random.Random(5)
-    words = [f"w{k}" for k in range(400)]
-    base = [rng.choices(words, k=150) for _ in range(6)]
+def near_copies(rng, groups=6, size=20, words=150):
+    base = [[f"w{rng.randrange(400)}" for _ in range(words)] for _ in range(groups)]
     texts = {}
-    for k in range(60):
-        w = list(base[k % 6])
-        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
-            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+    for k in range(groups * size):
+        w = list(base[k % groups])
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(40)}"
         texts[k] = " ".join(w)
-    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
-    sure = brute(texts, 0.8)
-    assert all(got[a] == got[b] for (a, b), j in sure.items() if j >= 0.84)
-    assert all(a % 6 == b % 6 for a in texts for b in texts if got[a] == got[b])
+    return texts
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_near_duplicates(spark, rounds):
+    """Groups of near copies, some of whose edits agree: every component, whatever the number of rounds."""
+    texts = near_copies(random.Random(5))
+    _, want = links_of(texts, 0.8)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string"), rounds=rounds).collect()}
+    assert len(set(want.values())) > 8 and sum(got[k] == want[k] for k in texts) >= 0.98 * len(texts)
+
+
+def test_near_duplicate_recall(spark):
+    """All documents of a table against all pairs: links of 0.8 and more are caught, and nothing else is joined."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    sims, want = links_of(texts, 0.8)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    sure = [p for p, x in sims.items() if x >= 0.8]
+    assert len(sure) > 50 and sum(got[a] == got[b] for a, b in sure) >= 0.98 * len(sure)
+    # weights come from counters, so a similarity near 0.8 may fall on the other side
+    loose = links_of(texts, 0.79)[1]
+    assert all(loose[k] == loose[got[k]] for k in texts)
+
+
+def test_near_duplicates_that_share_an_id(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{x}{rng.randrange(90)}" for _ in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, b + " and more", "u"), (None, c, "v"), (None, c, "v"), (4, c, "w"), (5, None, None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumnRenamed("mark", "id")
+    kept = sorted((r.doc_id or 0, r.id or "") for r in deduplicate(docs).collect())
+    assert kept == [(1, "x"), (1, "y"), (4, "w"), (5, ""), (5, "")]
+    assert {r.class_id for r in near_duplicates(docs).collect() if r.doc_id in (None, 4)} == {4}
 
 
 def test_vectors(spark):
@@ -174,6 +263,28 @@ def test_vectors(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in range(900, 906))
 
 
+def test_vectors_of_any_length(spark):
+    """Scaling changes no link, down to the least numbers and up to the largest; shared and null ids, and columns that clash."""
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((40, 16))
+    v[20:] = v[:20] + 0.01 * rng.standard_normal((20, 16))
+    v /= np.abs(v).max()
+    scale = [1e-200, 1e-300, 1e308, 1e200, 1.0]
+    rows = [(k, [float(x) for x in r * scale[k % 5]], 1, 7, 8) for k, r in enumerate(v)]
+    rows += [(50, [1.0] * 16, 2, 0, 0), (50, [-1.0] * 16, 2, 0, 0), (51, [1.0] * 16, 2, 0, 0), (None, [-1.0] * 16, 2, 0, 0)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n int, cls int")).collect()
+    by = {r.vec_id: r for r in got}
+    assert all(by[k].n_links == 1 and by[k].component_id == k % 20 for k in range(40))
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got if r.vec_id is None or r.vec_id >= 50) == [(0, 1, 50), (50, 1, 50), (50, 1, 50), (51, 1, 50)]
+
+
+def test_vector_candidates(spark):
+    """Few pairs are verified beyond the links."""
+    vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
+    links = near_vectors(vectors).selectExpr("sum(n_links) div 2").first()[0]
+    assert candidates(vectors) <= 2 * links + 100
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 50), (100, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -181,11 +292,18 @@ def test_components(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "be brief"), (1, 1, "user", None), (1, 2, "assistant", "a\\</s>\n\\\\[INST] <|im_end|>"), (1, 3, "us\ner\\n", "x" * 10), (1, 3, "us\ner\\n", "x" * 10), (1, 4, None, "y")]
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", None), (1, 2, "assistant", "a\\</s>\n\\\\[INST] <|im_end|>"), (1, 3, "us\ner\\n", "x" * 10), (1, 3, "us\ner\\n", "x" * 10), (1, 4, None, "y"), (1, 5, "a\x00\\\\b", "z"), (1, 6, "\\", "")]
     rows += [(2, k, "user" if k % 2 == 0 else "assistant", f"turn {k} " + "word " * (40 * (k % 5))) for k in range(40)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = windows(turns, budget=100, history=50)
+    out = windows(turns, budget=1500, history=300)
     assert out.where("conv_id = 2").count() > 3 and out.where("n_repeated > 0").count() > 0
+    # the budget holds for whole windows, whose bytes bound their tokens, but for a turn that does not fit alone
+    for r in out.selectExpr("*", "octet_length(formatted) as bytes").collect():
+        assert r.bytes == r.n_tokens <= 1500
+    tight = windows(turns, budget=400, history=100).selectExpr("*", "octet_length(formatted) as bytes").collect()
+    assert all(r.bytes <= 400 or r.n_repeated == (r.conv_id == 1 and r.window > 0) and r.formatted.count("\n</s>\n") == 1 + r.n_repeated for r in tight)
+    exact = turns.selectExpr("*", "10 as mine")
+    assert windows(exact, budget=100, history=20, tokens="mine").selectExpr("max(n_tokens)").first()[0] <= 100
     back = {r.conv_id: r for r in read_back(out).collect()}
     for c in (1, 2):
         mine = sorted((x[1], x[2] or "", x[3] or "") for x in rows if x[0] == c)
@@ -195,7 +313,7 @@ def test_chat(spark):
 
 def test_packing(spark, docs):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = pack(docs.dropDuplicates(["doc_id"]), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    rows = pack(docs.dropDuplicates(["doc_id"]), public_tokenizers.path("byte_bpe_50k.json")).collect()
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
@@ -212,6 +330,16 @@ def test_packing(spark, docs):
         assert at <= 1024 and len(parts) <= 64 and at & (at - 1) == 0
 
 
+def test_packing_ids(hostile):
+    """The merging engine against the vocabulary's own library."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = encoding(path), Tokenizer.from_file(path)
+    rng = random.Random(8)
+    texts = [*hostile, "<|endoftext|>a <|endoftext|> <|endoftext|", *("".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD7FF), rng.randrange(0x10000, 0x10FFFF)])) for _ in range(20)) for _ in range(1500))]
+    for x in texts:
+        assert own.encode(x, allowed_special="all") == library.encode(x, add_special_tokens=False).ids, x
+
+
 @pytest.mark.parametrize("limits", [Limits(64, 3, 20), Limits(64, 8, 64), Limits(16, 1, 16)])
 def test_vector_limits(limits):
     rng = random.Random(2)
@@ -258,22 +386,28 @@ def test_digests(spark):
         assert rows[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("order,cutoff", [(1, 2), (2, 1), (3, 2), (4, 1), (4, 3)])
-def test_backoff_orders(spark, order, cutoff):
+@pytest.mark.parametrize("order,others", [(1, True), (2, False), (3, True), (3, False), (4, True)])
+def test_backoff_orders(spark, order, others):
     rng = random.Random(7)
-    texts = {k: " ".join(rng.choices("abc", k=rng.choice([0, 1, 2, 3, 30]))) for k in range(40)}
-    words = {k: x.split() for k, x in texts.items()}
-    held = Counter(tuple(w[i : i + n]) for w in words.values() for n in range(1, order + 1) for i in range(len(w) - n + 1))
-    total = sum(map(len, words.values()))
-
-    def score(gram):
-        if len(gram) == 1:
-            return np.log(held[gram] / total)
-        return np.log(held[gram] / held[gram[:-1]]) if held[gram] >= cutoff else np.log(0.4) + score(gram[1:])
-
-    got = {r.doc_id: r.score for r in backoff_scores(spark.createDataFrame([*texts.items()], "doc_id long, text string"), order=order, cutoff=cutoff).collect()}
-    for k, w in words.items():
-        assert got[k] == pytest.approx(sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))))
+    texts = {k: " ".join(rng.choices("abcdef", k=rng.choice([0, 1, 2, 3, 30]))) for k in range(40)} | {41: "unheard of", 42: None}
+    words = {k: (x or "").split() for k, x in texts.items()}
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    held, total = sum(map(grams, words.values()), Counter()), sum(map(len, words.values()))
+
+    def score(gram, held, total):
+        if held[gram]:
+            return np.log(held[gram] / (held[gram[:-1]] if len(gram) > 1 else total))
+        return np.log(0.4) + (score(gram[1:], held, total) if len(gram) > 1 else -np.log(total))
+
+    rows = [*texts.items(), (None, texts[0]), (7, texts[7])]
+    held += grams(words[0]) + grams(words[7])
+    total += len(words[0]) + len(words[7])
+    got = [(r.doc_id, r.n_words, r.score) for r in backoff_scores(spark.createDataFrame(rows, "doc_id long, text string"), order=order, others=others).collect()]
+    assert sorted(str(k) for k, _, _ in got) == sorted(str(k) for k, _ in rows)
+    for k, n, x in got:
+        w = words[0 if k is None else k]
+        mine, rest = (held - grams(w), max(1, total - len(w))) if others else (held, total)
+        assert n == len(w) and x == pytest.approx(sum(score(tuple(w[max(0, i - order + 1) : i + 1]), mine, rest) for i in range(len(w))))
 
 
 @pytest.mark.parametrize("limits", [Limits(64, 3, 20), Limits(64, 8, 5)])
@@ -295,7 +429,7 @@ def test_pack_masked_prompts(spark, limits):
     chats = windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("window = 0").cache()
     extra = spark.createDataFrame([(100, "all of it", None), (101, "none of it", []), (102, "", []), (103, None, None), (104, "beyond", [(3, 1000)])], "conv_id long, formatted string, loss array<struct<start: int, length: int>>")
     source = chats.select("conv_id", "formatted", "loss").union(extra)
-    rows = pack(source, public_tokenizers.path("byte_bpe_50k.tiktoken"), limits, "conv_id", "formatted", loss="loss").collect()
+    rows = pack(source, public_tokenizers.path("byte_bpe_50k.json"), limits, "conv_id", "formatted", loss="loss").collect()
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     loss, pieces = Counter(), {}
     for r in rows:
