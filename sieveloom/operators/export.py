@@ -7,7 +7,7 @@ from .validate import _judged, _options
 
 
 def k01_json(d: Dialect) -> str:
-    return f"with {_judged(d)} select q_no, {d.json({'q': 'question', 'o': 'options', 'c': 'c'})} as json from q where is_valid"
+    return f"with {_judged(d)} select q_no, {d.json({'q': 'question', 'o': 'items', 'c': 'c', 'img': d.none()})} as json from q where is_valid"
 
 
 def k08_classic_text(d: Dialect) -> str:
@@ -15,24 +15,6 @@ def k08_classic_text(d: Dialect) -> str:
     return f"with {_judged(d)} , t as (select q_no, {d.joined('concat(case when ok then chr(43) else chr(61) end, chr(32), txt)', 'chr(10)', 'place')} as lines from placed group by q_no) select q.q_no, concat('? ', question, chr(10), lines, chr(10), chr(10)) as text from q join t on t.q_no = q.q_no where is_valid"
 
 
-def k10_report(d: Dialect) -> str:
-    return f"with {_judged(d)} select concat('questions ', lpad(cast(count(*) as varchar(20)), 8, ' '), chr(10), 'valid     ', lpad(cast(count_if(is_valid) as varchar(20)), 8, ' '), chr(10), 'answered  ', lpad(cast(count_if(is_valid and c >= 0) as varchar(20)), 8, ' ')) as report from q"
-
-
-def k14_summary(d: Dialect) -> str:
-    """Markup of a summary, with the document's name escaped."""
-    name = "replace(replace(replace(concat('a<b>&', cast(q_no % 20 as varchar(20))), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-    return f"with {_judged(d)}, n as (select {name} as name, is_valid from q) select name, concat('<b>', name, '</b>: ', cast(count_if(is_valid) as varchar(20)), '/', cast(count(*) as varchar(20))) as html from n group by name"
-
-
-def k15_prompt(d: Dialect) -> str:
-    return f"with {_judged(d)}, c as (select {d.div('q_no', '25')} as chunk_id, {d.joined('question', 'chr(10)', 'q_no')} as items from q group by {d.div('q_no', '25')}) select chunk_id, concat('Answer these questions:', chr(10), items) as prompt from c"
-
-
-def k17_envelope(d: Dialect) -> str:
-    return f"with {_judged(d)} select {d.div('q_no', '25')} as chunk_id, {d.json({'max_tokens': '4000', 'n': 'count(*)'})} as request from q group by {d.div('q_no', '25')}"
-
-
 def k04_math_letters(d: Dialect) -> str:
     """Mathematical italic letters as plain ones."""
     source = "".join(chr(0x1D44E + k) for k in range(26) if k != 7)

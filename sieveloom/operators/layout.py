@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from ..plans.dialect import Dialect
+from .parse import _either
 
 #: A colour dominates if it exceeds both others by more than this.
 DOMINANT = 40
 # Words of administrative headers, by prefix, and phrases.
-KEYWORDS = "tasdiqlayman tasdiqlash tasdiqladi kafedra mudiri dekan tuzuvchi imzo sana professor dotsent dosent assistent semestr universitet institut akademik rahbari boshligi mudir fakulteti prorektori rektori vazirlik respublika".split()
-PHRASES = ["test savollari", "test topshiriqlari", "fanidan test", "oquv yili", "tasdiq qilaman", "nazorat testlari", "oraliq nazorat", "yakuniy nazorat"]
+KEYWORDS = "tasdiqlayman tasdiqlash tasdiqladi kafedra mudiri dekan tuzuvchi imzo sana professor dotsent dosent assistent semestr universitet institut akademik rahbari boshlig’i boshligi mudir fakulteti prorektori rektori vazirlik respublika".split()
+PHRASES = ["test savollari", "test topshiriqlari", "fanidan test", "o’quv yili", "oquv yili", "tasdiq qilaman", "nazorat testlari", "oraliq nazorat", "yakuniy nazorat"]
 FOOTER = "(?i)\\bo.qituvchi(si)?\\b|kafedra|\\bmudiri\\s*:|\\btuzuvchi\\b|\\bdekan[ia]?\\b|\\bimzo\\b|\\bsana\\b|\\bprof[.]\\s|\\bdo[ts]sent\\b"
 
 
@@ -100,14 +101,17 @@ def x14_explicit_correct(d: Dialect) -> str:
 
 
 def x15_all_correct(d: Dialect) -> str:
-    """Where every option of a question is marked right, none is."""
-    rule = d.match("s", "^([+=]{3,})$")
-    head = f"({d.match('s', '^(\\?|[0-9]+[.)])')} or {rule})"
-    good, option = f"({d.match('s', '^[+#]')} and not {rule})", f"({d.match('s', '^[+#=]')} and not {rule})"
-    return f"""with s as (select doc_id, line_no, {d.strip('text')} as s from @lines),
-        b as (select *, sum(case when {head} then 1 else 0 end) over (partition by doc_id order by line_no) as scope from s),
-        w as (select *, count(case when {option} then 1 end) over (partition by doc_id, scope) as options, count(case when {good} then 1 end) over (partition by doc_id, scope) as goods from b)
-        select doc_id, line_no, case when {good} and goods >= 2 and goods = options then case when {d.match('s', '^[+]')} then concat('=', substring(s, 2)) else {d.rep('s', '^#', '')} end else s end as text from w"""
+    """Where every option of a question is marked right, none is. A question's options end at the next question, a rule or a section header."""
+    from .parse import SECTION, SEP
+
+    rule = d.match("s", "^[+=]{3,}$")
+    question = f"({d.match('s', '^\\?')} or {d.match('s', '^[0-9]+[.)]\\s')} or {d.match('s', f'^[0-9]{{2,3}}{SEP}\\S')})"
+    ends = f"({question} or {rule} or {d.match('s', SECTION)})"
+    return f"""with s as (select doc_id, line_no, text, {d.strip('text')} as s from @lines),
+        k as (select *, {question} as asks, {ends} as edge, {d.match('s', '^[+#]')} as good, {d.match('s', '^[+#=]')} as option from s),
+        b as (select *, sum(case when edge then 1 else 0 end) over (partition by doc_id order by line_no) as scope from k),
+        w as (select *, max(case when asks then 1 else 0 end) over (partition by doc_id, scope) as asked, count(case when option and not edge then 1 end) over (partition by doc_id, scope) as options, count(case when good and not edge then 1 end) over (partition by doc_id, scope) as goods from b)
+        select doc_id, line_no, case when good and not edge and asked = 1 and goods >= 2 and goods = options then case when {d.match('s', '^[+]')} then {d.rep('text', '^(\\s*)[+]', '$1=')} else {d.rep('text', '^(\\s*)#', '$1')} end else text end as text from w"""
 
 
 def _header(d: Dialect, x: str) -> tuple[str, str]:
@@ -116,7 +120,7 @@ def _header(d: Dialect, x: str) -> tuple[str, str]:
     letters = d.rep(x, "[^a-zA-Z\\x{410}-\\x{44F}\\x{401}\\x{451}]", "")
     asks = d.match(x, "\\?$")
     always = f"{d.match(x, '___')} or (length({x}) < 30 and {d.match(f'lower({x})', '[0-9]{4}\\s*-?\\s*(yil|y\\b)')})"
-    rest = f"(length({letters}) >= 6 and {letters} = upper({letters}) and not {asks}) or (length({x}) > 6 and {d.match(x, '^[\\x22\\x{AB}].*[^?][\\x22\\x{BB}]$')}) or (not {asks} and {d.match(f'lower({x})', f'(^|[^a-z])({words})|{phrases}')})"
+    rest = f"(length({letters}) >= 6 and {letters} = upper({letters}) and not {asks}) or (length({x}) > 6 and {d.match(x, '^[\\x22\\x{AB}].*[\\x22\\x{BB}]$')} and not {d.match(x, '\\?\\s*.$')}) or (not {asks} and {d.match(f'lower({x})', f'(^|[^a-z’ʻа-яё])({words})|{phrases}')})"
     return always, rest
 
 
@@ -150,13 +154,26 @@ def g04_split_merged(d: Dialect) -> str:
 
 
 # Tables: rows of (sheet, row_no, c0 .. c4).
-HEADS = "(?i)savol|javob|to.g.ri|question|answer|correct|вопрос|ответ|№"
+CELLS = ("c0", "c1", "c2", "c3", "c4")
+# Words of header rows.
+HEADS = "(?i)\\b(?:savol|javob|to[\\W_]*g[\\W_]*ri|muqobil|question|answer|correct|wrong|option|variant)\\b|" + "|".join(map(_either, ("вопрос", "ответ", "правильн", "альтернатив"))) + "|^[№n]$|^t/r$|^no\\.?$"
+
+
+def _filled() -> str:
+    return "(" + " + ".join(f"case when {c} <> '' then 1 else 0 end" for c in CELLS) + ")"
+
+
+def _is_header(d: Dialect) -> str:
+    """Some cell filled, all shorter than 40, and two, or all if fewer, with words of headers."""
+    hits = " + ".join(f"case when {c} <> '' and {d.match(c, HEADS)} then 1 else 0 end" for c in CELLS)
+    return f"({_filled()} > 0 and {' and '.join(f'length({c}) < 40' for c in CELLS)} and {hits} >= least(2, {_filled()}))"
 
 
 def t01_layout(d: Dialect) -> str:
-    """B where the first column counts up, or is mostly empty and the second is not."""
-    return f"""with r as (select * from @cells where row_no <= 60 and c1 <> ''),
-        n as (select sheet, row_no, case when {d.match('c0', '^[0-9]{1,9}$')} then cast({d.ext('c0', '^([0-9]{1,9})$')} as bigint) end as n from r where {d.match('c0', '^[0-9]{1,9}$')}),
+    """B where the first column counts up, or is mostly empty and the second is not. Of the first 60 rows those that have two cells or more filled and are no headers count."""
+    number = "^([0-9]{1,9})\\.?\\s*$"
+    return f"""with r as (select * from @cells where row_no <= 60 and {_filled()} > 1 and not {_is_header(d)}),
+        n as (select sheet, row_no, case when {d.match('c0', number)} then cast({d.ext('c0', number)} as bigint) end as n from r where {d.match('c0', number)}),
         s as (select *, lag(n) over (partition by sheet order by row_no) as before from n),
         q as (select sheet, count(*) as ints, count_if(n = before + 1) as steps from s group by sheet),
         f as (select sheet, round(avg(case when c0 <> '' then 1.0e0 else 0.0e0 end), 6) as fill0, round(avg(case when c1 <> '' then 1.0e0 else 0.0e0 end), 6) as fill1 from r group by sheet)
@@ -168,10 +185,7 @@ def t02_star_marker(d: Dialect) -> str:
 
 
 def t03_header_rows(d: Dialect) -> str:
-    hits = " + ".join(f"case when {d.match(c, HEADS)} then 1 else 0 end" for c in ("c0", "c1", "c2", "c3", "c4"))
-    filled = " + ".join(f"case when {c} <> '' then 1 else 0 end" for c in ("c0", "c1", "c2", "c3", "c4"))
-    short = " and ".join(f"length({c}) < 40" for c in ("c0", "c1", "c2", "c3", "c4"))
-    return f"select sheet, row_no, {filled} > 0 and {short} and {hits} >= least(2, {filled}) as header from @cells"
+    return f"select sheet, row_no, {_is_header(d)} as header from @cells"
 
 
 def t04_merged_header(d: Dialect) -> str:

@@ -9,8 +9,18 @@ SEP = "[.)\\x27\\x22\\x{201C}\\x{201D}\\x{AB}\\x{BB}]"
 UPPER = "[\\x{410}-\\x{42F}\\x{401}A-Z]"
 NUMBERED = [f"^[0-9]+{SEP}{{1,2}}\\s*(.+)", f"^[0-9]{{2,3}}\\s+{SEP}+\\s*(.+)", f"^[0-9]{{2,3}}\\s+[0-9]+{SEP}\\s*(.+)", f"^[0-9]{{2,3}}({UPPER}.{{4,}})", f"^[0-9]{{2,3}}\\s+({UPPER}.{{4,}})"]
 LETTERED = "^[a-fA-F][.)]\\s*(.*)"
-#: Letters of options, Latin and Cyrillic, by their place.
+#: Letters of options, Latin and Cyrillic, by their place; and all of them in a class of a pattern.
 PLACES = "ABCDEF", "АБВГДЕ"
+LETTERS = "A-Fa-f\\x{410}-\\x{415}\\x{430}-\\x{435}"
+
+
+def _either(word: str) -> str:
+    """A pattern of the word in upper or lower case, beyond ASCII too."""
+    return "".join(f"[{c.lower()}{c.upper()}]" for c in word)
+
+
+# Fixed value: headers of sections between questions.
+SECTION = f"^{_either('част')}[а-яёА-ЯЁ]{{0,2}}\\s*[0-9]"
 
 
 def _first(d: Dialect, x: str, patterns: list[str]) -> str:
@@ -62,20 +72,28 @@ def g10_quiz(d: Dialect) -> str:
 
 
 def g07_abc(d: Dialect) -> str:
-    """Numbered questions with lettered options; the last answer line within range decides among the options before it."""
+    """Numbered questions with lettered options; the last answer line within range decides among the options before it.
+
+    Section headers belong to nothing. An option before any question opens one without text; what stands before is dropped,
+    as is a question with neither text nor options.
+    """
     w = "partition by doc_id order by line_no"
-    option = "^([#*+=]?)\\s*([A-Fa-f\\x{410}-\\x{415}\\x{430}-\\x{435}])[.)]\\s*(.*)"
-    key = "(?i)^(?:answer|javob|to.g.ri javob|ответ)\\s*:\\s*([A-F\\x{410}-\\x{415}\\x{430}-\\x{435}])\\s*$"
+    question, option = "^[0-9]+[.)\\s]\\s*(.*)", f"^([#*+=]?)\\s*([{LETTERS}])[.)]\\s*(.*)"
+    plain = f"^[{LETTERS}][.)]"
+    key = f"(?i)^(?:to\\x27?\\x{{2BB}}?g\\x27?\\x{{2BB}}?ri\\s+javob|correct\\s+answer|correct|answer|right\\s+answer|{_either('правильный')}\\s+{_either('ответ')}|{_either('ответ')})\\s*:\\s*([{LETTERS}])"
     place = f"greatest(instr('{PLACES[0]}', upper(letter)), instr('{PLACES[1]}', upper(letter)))"
+    body = d.strip(d.rep(d.ext("s", option, 3), "^#", ""))
     ctes = f"""s as (select doc_id, line_no, {d.strip('text')} as s from @lines),
-        k as (select doc_id, line_no, s, case when {d.match('s', '^[0-9]+[.)]\\s*\\S')} then 'Q' when {d.match('s', key)} then 'K' when {d.match('s', option)} or {d.match('s', '^[+*=]\\s')} then 'O' else 'X' end as kind from s where s <> ''),
-        i as (select *, sum(case when kind = 'Q' then 1 else 0 end) over ({w}) as q from k),
-        o as (select *, sum(case when kind = 'O' then 1 else 0 end) over (partition by doc_id, q order by line_no) as opt, case when kind = 'K' then {d.ext('s', key)} end as letter from i where q > 0),
+        k as (select doc_id, line_no, s, case when {d.match('s', question)} then 'Q' when {d.match('s', f'^[#*+=]\\s*[{LETTERS}][.)]')} or {d.match('s', plain)} then 'O' when {d.match('s', '^[+*=] ')} then 'P' when {d.match('s', key)} then 'K' else 'X' end as kind from s where s <> '' and not {d.match('s', SECTION)}),
+        act as (select *, sum(case when kind in ('Q', 'O') then 1 else 0 end) over ({w}) as active from k),
+        i as (select *, sum(case when kind = 'Q' or (kind = 'O' and active = 1) then 1 else 0 end) over ({w}) as q from act where active > 0),
+        o as (select *, sum(case when kind in ('O', 'P') then 1 else 0 end) over (partition by doc_id, q order by line_no) as opt, case when kind = 'K' then {d.ext('s', key)} end as letter from i),
         j as (select *, case when kind = 'K' and {place} between 1 and opt then line_no end as key_line, case when kind = 'K' and {place} between 1 and opt then {place} end as key_place from o),
-        y as (select *, max(key_line) over (partition by doc_id, q) as last_key from j),
+        y as (select *, max(key_line) over (partition by doc_id, q) as last_key, max(opt) over (partition by doc_id, q) as options from j),
         z as (select *, max(case when line_no = last_key then key_place end) over (partition by doc_id, q) as key_at from y),
-        p as (select doc_id, line_no, q, opt, case when kind = 'Q' then {d.ext('s', '^[0-9]+[.)]\\s*(.*)')} when kind = 'O' and {d.match('s', option)} then {d.strip(d.rep(d.ext('s', option, 3), '^#|[*]$', ''))} when kind = 'O' then {d.strip(d.rep('s', '^[+*=]', ''))} else s end as piece,
-            kind = 'O' and case when last_key > line_no then opt = key_at when {d.match('s', option)} then {d.ext('s', option, 1)} <> '' or {d.match(d.ext('s', option, 3), '^#|[*]$')} else {d.match('s', '^[+*]')} end as right_ from z where kind <> 'K')"""
+        c as (select doc_id, line_no, q, opt, options, case when kind = 'Q' then {d.strip(d.ext('s', question))} when kind = 'O' and {d.match('s', plain)} then {d.strip(d.rep(body, '[*]$', ''))} when kind = 'O' then {d.strip(d.ext('s', option, 3))} when kind = 'P' then {d.strip("substring(s, 3)")} else s end as piece,
+            kind in ('O', 'P') and case when last_key > line_no then opt = key_at when kind = 'P' then {d.match('s', '^[+*]')} when {d.match('s', plain)} then {d.match(d.ext('s', option, 3), '^#|[*]$')} else true end as right_ from z where kind <> 'K'),
+        p as (select * from c where opt > 0 or piece <> '')"""
     return _pieces(d, ctes)
 
 
@@ -110,7 +128,7 @@ def g09_gift(d: Dialect) -> str:
 def g05_detect(d: Dialect) -> str:
     """Features of each document's lines, and the format that they speak for."""
     c = lambda p: f"count_if({d.match('text', p)})"
-    return f"""with f as (select doc_id, {c('^[{]')} as braces, {c('^~\\s*\\S')} as tildes, {c('^[+]{3,}\\s*$')} as plus_rules, {c('^={3,}\\s*$')} as equal_rules, {c('^\\?\\s*\\S')} as questions, {c('^[+=]\\s*\\S')} as options, {c('^[0-9]+[.)]\\s*\\S')} as numbered, {c('^[#*+=]?\\s*[A-Fa-f][.)]')} as lettered from @lines group by doc_id)
+    return f"""with f as (select doc_id, {c('^[{]')} as braces, {c('^~\\s*\\S')} as tildes, {c('^[+]{3,}\\s*$')} as plus_rules, {c('^={3,}\\s*$')} as equal_rules, {c('^\\?\\s*\\S')} as questions, {c('^[+=]\\s*\\S')} as options, {c('^[0-9]+[.)]\\s*\\S')} as numbered, {c(f'^[#*+=]?\\s*[{LETTERS}][.)]\\s*\\S')} as lettered from @lines group by doc_id)
         select *, case when braces >= 3 and tildes >= 2 * braces then 'GIFT' when plus_rules >= 2 or equal_rules >= 2 then 'BLOCKS' when numbered > questions and lettered > options then 'ABC' else 'CLASSIC' end as format from f"""
 
 

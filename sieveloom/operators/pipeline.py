@@ -44,14 +44,3 @@ def e1_documents(d: Dialect) -> str:
         q as (select distinct format, doc_id, q from p),
         j as (select q.format, q.doc_id, coalesce(n.n, 0) as n, coalesce(n.right_, 0) as right_ from q left join n on n.format = q.format and n.doc_id = q.doc_id and n.q = q.q)
         select doc_id, format, count(*) as raw, count_if(n >= 2) as valid, count_if(n >= 2 and right_ = 0) as unanswered, count_if(n >= 2 and right_ > 1) as many_right, round(count_if(n >= 2) * 100.0e0 / count(*), 1) as success_rate from j group by doc_id, format"""
-
-
-def k06_full_json(d: Dialect) -> str:
-    """All fields of resolved questions."""
-    from .resolve import _merged, _tier
-
-    return f"with {_merged(d)}, t as (select *, {_tier('cf')} as tier from m) select q_no, {d.json({'q': 'q_no', 'c': 'c', 'outcome': 'outcome', 'tier': 'tier', 'searched': 'searched'})} as json from t"
-
-
-def r12_progress(d: Dialect) -> str:
-    return "select batch_id, round(0.25e0 + 0.65e0 * least(count(*), 100) / 100.0e0, 6) as progress from @log group by batch_id"

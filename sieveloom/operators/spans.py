@@ -98,8 +98,12 @@ def x13_bold_paragraph(d: Dialect) -> str:
 
 
 def g02a_letter_key(d: Dialect) -> str:
-    """The first option whose text starts with the key's letter."""
-    return f"with {_options(d)}, k as (select q_no, substring('abcdefghij', cast(q_no % 10 + 1 as int), 1) as letter from (select distinct q_no from placed) x) select k.q_no, letter, coalesce(min(case when lower(substring(txt, 1, 1)) = letter then place end), -1) as place from k join placed on placed.q_no = k.q_no group by k.q_no, letter"
+    """The first option that opens with the key's letter and a point or parenthesis."""
+    mark = "concat(case when place % 2 = 0 then substring('abCDef', cast(place + 1 as int), 1) else substring('ABcdEF', cast(place + 1 as int), 1) end, case q_no % 3 when 0 then ') ' when 1 then '.' else ' ' end, txt)"
+    letter = d.ext("txt", "^([A-Fa-f])[.)]\\s*")
+    return f"""with {_options(d)}, k as (select q_no, place, {mark} as txt, substring('abcdef', cast(q_no % 6 + 1 as int), 1) as letter from placed),
+        h as (select q_no, letter, place, lower({letter}) = letter as hit from k)
+        select q_no, letter, coalesce(min(case when hit then place end), -1) as place from h group by q_no, letter"""
 
 
 def g06b_image_token(d: Dialect) -> str:

@@ -6,6 +6,8 @@ from ..plans.dialect import Dialect
 
 #: Least and most options kept; shortest question without a warning; usual number of options.
 LEAST, MOST, SHORT, USUAL = 2, 6, 3, 4
+#: Texts of the derived questions: some empty, some short.
+QUESTION = "case when raw.q_no % 31 = 5 then '' when raw.q_no % 31 = 6 then 'ab' else concat('Which part of ', cast(raw.q_no % 97 as varchar(20)), '?') end"
 
 
 def _options(d: Dialect) -> str:
@@ -18,18 +20,18 @@ def _options(d: Dialect) -> str:
 
 def _judged(d: Dialect) -> str:
     return f"""{_options(d)},
-        raw as (select q_no, count(*) as n_raw, count_if(txt <> '') as n_filled, count_if(ok) as n_right from o group by q_no),
-        made as (select q_no, count(*) as n_options, coalesce(min(case when ok then place end), -1) as c, {d.joined('txt', "'|'", 'place')} as options from placed group by q_no),
-        q as (select raw.q_no, concat('Which part of ', cast(raw.q_no % 97 as varchar(20)), '?') as question, n_raw, n_filled, n_right, coalesce(n_options, 0) as n_options, coalesce(c, -1) as c, coalesce(options, '') as options, n_filled >= {LEAST} and coalesce(n_options, 0) >= {LEAST} as is_valid from raw left join made on made.q_no = raw.q_no)"""
+        raw as (select q_no, count(*) as n_raw, count_if(txt <> '') as n_filled, count_if(ok) as n_right, {d.joined("lower(txt)", "'|'", 'pos')} as signature from o group by q_no),
+        made as (select q_no, count(*) as n_options, coalesce(min(case when ok then place end), -1) as c, {d.joined('txt', "'|'", 'place')} as options, {d.listed('txt', 'place')} as items from placed group by q_no),
+        q as (select raw.q_no, {QUESTION} as question, signature, items, n_raw, n_filled, n_right, coalesce(n_options, 0) as n_options, coalesce(c, -1) as c, coalesce(options, '') as options, {QUESTION} <> '' and n_filled >= {LEAST} and coalesce(n_options, 0) >= {LEAST} as is_valid from raw left join made on made.q_no = raw.q_no)"""
 
 
 def v03_validate(d: Dialect) -> str:
-    return f"with {_judged(d)} select * from q"
+    return f"with {_judged(d)} select q_no, question, n_raw, n_filled, n_right, n_options, c, options, is_valid from q"
 
 
 def v03_issues(d: Dialect) -> str:
     issues = [f"select q_no, '{code}' as code, cast({n} as bigint) as n from q where {test}" for code, n, test in (
-        ("E_OPTIONS", "n_filled", f"n_filled < {LEAST}"), ("E_AFTER_DEDUP", "n_options", f"n_filled >= {LEAST} and n_options < {LEAST}"), ("W_SHORT", "length(question)", f"length(question) < {SHORT}"), ("W_TOO_MANY", "n_filled", f"n_filled > {MOST}"), ("W_BLANK", "n_raw - n_filled", "n_raw > n_filled"),
+        ("E_QUESTION", "0", "question = ''"), ("E_OPTIONS", "n_filled", f"n_filled < {LEAST}"), ("E_AFTER_DEDUP", "n_options", f"n_filled >= {LEAST} and n_options < {LEAST}"), ("W_SHORT", "length(question)", f"question <> '' and length(question) < {SHORT}"), ("W_TOO_MANY", "n_filled", f"n_filled > {MOST}"), ("W_BLANK", "n_raw - n_filled", "n_raw > n_filled"),
         ("W_NO_RIGHT", "n_right", "n_right = 0"), ("W_MANY_RIGHT", "n_right", "n_right > 1"), ("W_DUPLICATE_OPTIONS", "n_options", f"n_options < least(n_filled, {MOST})"), ("W_OPTION_COUNT", "n_options", f"n_options <> {USUAL}"))]
     return f"with {_judged(d)} {' union all '.join(issues)}"
 
@@ -68,7 +70,7 @@ def v11_split(d: Dialect) -> str:
 
 def _keyed(d: Dialect) -> str:
     return f"""{_judged(d)},
-        k as (select *, concat(lower({d.strip('question')}), '::', lower(options)) as key from q),
+        k as (select *, concat(lower({d.strip('question')}), '::', signature) as key from q),
         w as (select *, row_number() over (partition by key order by case when is_valid then 0 else 1 end, q_no) as best, row_number() over (partition by key order by q_no) as nth, min(q_no) over (partition by key) as first_no from k)"""
 
 

@@ -63,6 +63,14 @@ class Spark(Dialect):
     def joined(self, x: str, by: str, order: str) -> str:
         return f"listagg({x}, {by}) within group (order by {order})"
 
+    def listed(self, x: str, order: str) -> str:
+        """The values of a group as a list in order."""
+        return f"transform(array_sort(collect_list(named_struct('k', {order}, 'x', {x}))), z -> z.x)"
+
+    def none(self) -> str:
+        """An empty list of strings."""
+        return "cast(array() as array<string>)"
+
     def last(self, x: str, over: str) -> str:
         return f"last_value({x}) ignore nulls over ({over})"
 
@@ -70,7 +78,7 @@ class Spark(Dialect):
         return f"first_value({x}) ignore nulls over ({over})"
 
     def div(self, a: str, b: str) -> str:
-        return f"({a} div {b})"
+        return f"(({a}) div ({b}))"
 
     def lines(self, source: str, key: str, text: str) -> str:
         return f"select {key}, cast(i + 1 as bigint) as line_no, line as text from {source} lateral view posexplode(split({text}, r'\\n')) as i, line"
@@ -102,6 +110,14 @@ class Spark(Dialect):
     def upto(self, n: str) -> str:
         return f"sequence(1, {n})"
 
+    def hexed(self, x: str) -> str:
+        """Bytes of a base64 text, in hexadecimal."""
+        return f"hex(unbase64({x}))"
+
+    def answers(self, source: str, key: str, json: str) -> str:
+        """(key, id, c, cf, s) of the list in a JSON text; none where it can't be read."""
+        return f"select {key}, a.id, a.c, a.cf, a.s from {source} lateral view explode(from_json({json}, 'answers array<struct<id: bigint, c: bigint, cf: double, s: boolean>>').answers) as a"
+
     def json(self, fields: dict[str, str]) -> str:
         return "to_json(named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + "))"
 
@@ -125,6 +141,12 @@ class Duck(Dialect):
     def joined(self, x: str, by: str, order: str) -> str:
         return f"string_agg({x}, {by} order by {order})"
 
+    def listed(self, x: str, order: str) -> str:
+        return f"list({x} order by {order})"
+
+    def none(self) -> str:
+        return "cast([] as varchar[])"
+
     def last(self, x: str, over: str) -> str:
         return f"last_value({x} ignore nulls) over ({over})"
 
@@ -132,7 +154,7 @@ class Duck(Dialect):
         return f"first_value({x} ignore nulls) over ({over})"
 
     def div(self, a: str, b: str) -> str:
-        return f"({a} // {b})"
+        return f"(({a}) // ({b}))"
 
     def lines(self, source: str, key: str, text: str) -> str:
         return f"select {key}, cast(unnest(range(1, len(l) + 1)) as bigint) as line_no, unnest(l) as text from (select {key}, string_split({text}, chr(10)) as l from {source})"
@@ -161,6 +183,13 @@ class Duck(Dialect):
     def upto(self, n: str) -> str:
         return f"range(1, ({n}) + 1)"
 
+    def hexed(self, x: str) -> str:
+        return f"hex(from_base64({x}))"
+
+    def answers(self, source: str, key: str, json: str) -> str:
+        parsed = f"""from_json(case when json_valid({json}) then {json} else '{{"answers": []}}' end, '{{"answers": [{{"id": "BIGINT", "c": "BIGINT", "cf": "DOUBLE", "s": "BOOLEAN"}}]}}')"""
+        return f"select {key}, a.id, a.c, a.cf, a.s from (select {key}, unnest({parsed}.answers) as a from {source}) y"
+
     def json(self, fields: dict[str, str]) -> str:
         return "cast(to_json(struct_pack(" + ", ".join(f"{k} := {v}" for k, v in fields.items()) + ")) as varchar)"
 

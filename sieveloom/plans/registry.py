@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import clean, export, geometry, layout, parse, pipeline, resolve, spans, validate
+from ..operators import clean, export, geometry, layout, parse, pipeline, requests, resolve, spans, validate
 from . import views as v
 from .dialect import Plan
 
@@ -37,13 +37,13 @@ PLANS: dict[str, Plan] = {
 
 for _name in ("v01_dedup", "v02_removed", "v03_validate", "v03_issues", "v04_truncate", "v05_option_dedup", "v06_correct_index", "v07_post_dedup", "v08_correct_count", "v09_valid", "v10_potentially_valid", "v11_split", "w09_best_per_key", "a01_stats", "a02_success_rate", "a18_summary"):
     PLANS[_name] = Plan(getattr(validate, _name), opt=v.OPT)
-for _name in ("j01_merge", "j03_retry_merge", "w17_retry_chunks", "a03_statistics", "a05_merge_counts", "a06_recount", "k05_compact"):
+for _name in ("j01_merge", "j03_retry_merge", "w17_retry_chunks", "a03_statistics", "a05_merge_counts", "a06_recount"):
     PLANS[_name] = Plan(getattr(resolve, _name), opt=v.OPT, answers=v.ANSWERS)
 for _name in ("j02_resolved", "w20_unresolved", "w15_chunks", "w16_chunks_with_images"):
     PLANS[_name] = Plan(getattr(resolve, _name), opt=v.OPT)
 for _name in ("v12_confidence", "v13_tier", "v14_descriptions", "v15_clean_json", "a08_tool_uses"):
     PLANS[_name] = Plan(getattr(resolve, _name), answers=v.ANSWERS)
-for _name in ("a07_tokens", "a09_refusals", "a10_progress", "j04_prices", "r01_terminal", "r10_latest", "k13_duration"):
+for _name in ("a07_tokens", "a09_refusals", "j04_prices", "r10_latest"):
     PLANS[_name] = Plan(getattr(resolve, _name), log=v.LOG)
 PLANS["r07_allowed"] = Plan(resolve.r07_allowed, log=v.LOG, customers="customer")
 
@@ -60,7 +60,7 @@ for _name in ("p02_highlights", "p09_image_places", "p12_glyphs", "p13_rows", "p
     PLANS[_name] = Plan(getattr(geometry, _name), glyphs=v.GLYPHS)
 for _name in ("p05_glued", "p11_wrapped"):
     PLANS[_name] = Plan(getattr(geometry, _name), lines=DOC_LINES)
-for _name in ("k01_json", "k08_classic_text", "k10_report", "k14_summary", "k15_prompt", "k17_envelope", "a13_mode", "w08_exactly_one", "w13_head", "a21_collect"):
+for _name in ("k01_json", "k08_classic_text", "a13_mode", "w08_exactly_one", "w13_head", "a21_collect"):
     PLANS[_name] = Plan(getattr(export, _name), opt=v.OPT)
 PLANS["k04_math_letters"] = Plan(export.k04_math_letters, docs=v.DIRTY)
 
@@ -78,11 +78,22 @@ for _names, _inputs in (
     for _name in _names:
         PLANS[_name] = Plan(getattr(spans, _name), **_inputs)
 
+for _names, _inputs in (
+    (("k15_prompt", "k16_blocks", "k17_envelope", "k14_summary", "v17_media", "v21_unresolved", "j09_bold_options", "j12_image_parts"), {"opt": v.OPT}),
+    (("k05_compact", "k06_full_json", "k10_report", "a19_resolver_summary"), {"opt": v.OPT, "answers": v.ANSWERS}),
+    (("a10_progress", "r01_ended", "r11_model", "k13_duration", "j11_models"), {"log": v.LOG}),
+    (("v18_suffix", "v19_admitted"), {"pages": "pages"}),
+    (("v16_answers",), {"answers": v.ANSWERS}),
+    (("v20_allowed",), {"log": v.LOG, "customers": "customer"}),
+    (("g03b_twice",), {"lines": v.BARE}),
+    (("t06_table_questions",), {"cells": v.CELLS}),
+):
+    for _name in _names:
+        PLANS[_name] = Plan(getattr(requests, _name), **_inputs)
+
 PLANS["c00_clean"] = Plan(pipeline.c00_clean, lines=v.DASH)
 PLANS["g00_route"] = Plan(pipeline.g00_route, lines=v.MIXED)
 PLANS["e1_documents"] = Plan(pipeline.e1_documents, lines=v.MIXED)
-PLANS["k06_full_json"] = Plan(pipeline.k06_full_json, opt=v.OPT, answers=v.ANSWERS)
-PLANS["r12_progress"] = Plan(pipeline.r12_progress, log=v.LOG)
 
 
 def _flagship(d):
