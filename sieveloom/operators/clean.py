@@ -48,20 +48,21 @@ def c07_super_subscripts(d: Dialect) -> str:
 
 
 def c08_orphan_numerators(d: Dialect) -> str:
-    """A short number between a line that ends open and one that starts with digits becomes a fraction, on the line before."""
+    """A short number between a line that ends open and one that starts with digits becomes a fraction, on the line before; empty lines in between go with it."""
+    w = "partition by doc_id order by line_no rows between unbounded preceding and 1 preceding"
+    back = "partition by doc_id order by line_no desc rows between unbounded preceding and 1 preceding"
+    filled = "case when s <> '' then s end"
     number = d.match("s", "^[0-9]{1,3}$")
     ends = d.match("before", "([\\p{Ll}]|=)$")
     starts = d.match("after", "^[0-9]")
     digits, rest = d.ext("after", "^([0-9]{1,3})", 1), d.ext("after", "^[0-9]{1,3}(.*)$", 1)
     return f"""with l as (select doc_id, line_no, text, {d.strip('text')} as s from @lines),
-        n as (select doc_id, line_no, s, lag(s) over (partition by doc_id order by line_no) as before, lead(s) over (partition by doc_id order by line_no) as after, lead(line_no) over (partition by doc_id order by line_no) as next_no from l where s <> ''),
+        n as (select *, {d.last(filled, w)} as before, {d.last(filled, back)} as after from l),
         m as (select *, {number} and coalesce({ends}, false) and coalesce({starts}, false) as num from n),
-        g as (select *, coalesce(lag(num) over (partition by doc_id order by line_no), false) as denominator from m),
-        h as (select *, sum(case when num or denominator then 0 else 1 end) over (partition by doc_id order by line_no) as host from g),
+        g as (select *, coalesce({d.last("case when s <> '' then num end", w)}, false) as taken from m),
+        h as (select *, sum(case when s = '' or num or taken then 0 else 1 end) over (partition by doc_id order by line_no) as host from g),
         suffix as (select doc_id, host, {d.joined(f"concat(' ', s, '/', {digits}, case when {d.strip(rest)} = '' then '' else concat(' ', {d.strip(rest)}) end)", "''", 'line_no')} as more from h where num group by doc_id, host),
-        gone as (select doc_id, line_no as lo, next_no as hi from h where num),
-        kept as (select l.doc_id, l.line_no, l.text, h.host from l left join h on h.doc_id = l.doc_id and h.line_no = l.line_no and not h.num and not h.denominator
-            where not exists (select 1 from gone where gone.doc_id = l.doc_id and l.line_no between gone.lo and gone.hi))
+        kept as (select doc_id, line_no, text, case when s <> '' then host end as host from h where not num and not taken)
         select kept.doc_id, kept.line_no, concat(kept.text, coalesce(more, '')) as text from kept left join suffix on suffix.doc_id = kept.doc_id and suffix.host = kept.host"""
 
 

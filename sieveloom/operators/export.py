@@ -23,7 +23,7 @@ def k04_math_letters(d: Dialect) -> str:
 
 
 def a13_mode(d: Dialect) -> str:
-    return "with n as (select q_no % 20 as doc_id, q_no, count_if(not ok) as k from @opt group by q_no), t as (select doc_id, k, count(*) as n from n group by doc_id, k) select doc_id, k as mode from (select doc_id, k, row_number() over (partition by doc_id order by n desc, k) as r from t) x where r = 1"
+    return f"with n as (select {d.div('q_no', '64')} as doc_id, q_no, count_if(not ok) as k from @opt group by q_no), t as (select doc_id, k, count(*) as n from n group by doc_id, k) select doc_id, k as mode from (select doc_id, k, row_number() over (partition by doc_id order by n desc, k) as r from t) x where r = 1"
 
 
 def w08_exactly_one(d: Dialect) -> str:
@@ -31,7 +31,7 @@ def w08_exactly_one(d: Dialect) -> str:
 
 
 def w13_head(d: Dialect) -> str:
-    return "select q_no, pos, txt from (select *, row_number() over (partition by q_no % 20 order by q_no, pos) as n from @opt) x where n <= 30"
+    return f"select q_no, pos, txt from (select *, row_number() over (partition by {d.div('q_no', '64')} order by q_no, pos) as n from @opt) x where n <= 30"
 
 
 def a21_collect(d: Dialect) -> str:

@@ -87,7 +87,7 @@ def v20_allowed(d: Dialect) -> str:
 
 
 def v21_unresolved(d: Dialect) -> str:
-    return f"with {_judged(d)} select q_no % 20 as doc_id, count_if(c = -1) > 0 as unresolved from q where is_valid group by q_no % 20"
+    return f"with {_judged(d)} select {d.div('q_no', '64')} as doc_id, count_if(c = -1) > 0 as unresolved from q where is_valid group by {d.div('q_no', '64')}"
 
 
 def j09_bold_options(d: Dialect) -> str:
@@ -143,7 +143,7 @@ def _escaped(x: str) -> str:
 def k14_summary(d: Dialect) -> str:
     """What is told after parsing: file, questions, answered and not, questions with images, duplicates taken out, and seconds."""
     name = "concat('a<b>&\"', chr(39), cast(doc_id as varchar(20)), '.docx')"
-    return f"""with {_judged(d)}, k as (select q_no % 20 as doc_id, q_no, c, is_valid, q_no % 9 = 0 and q_no % 20 < 15 as image, row_number() over (partition by q_no % 20, lower(question), signature order by q_no) as nth from q),
+    return f"""with {_judged(d)}, k as (select {d.div('q_no', '64')} as doc_id, q_no, c, is_valid, q_no % 9 = 0 and q_no % 7 < 5 as image, row_number() over (partition by {d.div('q_no', '64')}, lower(question), signature order by q_no) as nth from q),
         s as (select doc_id, count_if(is_valid and nth = 1) as n, count_if(is_valid and nth = 1 and c >= 0) as answered, count_if(is_valid and nth = 1 and image) as images, count_if(nth > 1) as gone from k group by doc_id)
         select doc_id, concat('📝 <b>Tahlil yakunlandi</b>', chr(10), '📁 Fayl: <code>', {_escaped(name)}, '</code>', chr(10), '❓ Jami savollar: <b>', {_text('n')}, '</b>', chr(10), '✔️ Javobli: <b>', {_text('answered')}, '</b>  |  ❌ Javobsiz: <b>', {_text('n - answered')}, '</b>',
             case when images > 0 then concat(chr(10), '🖼 Rasmli savollar: <b>', {_text('images')}, '</b>') else '' end, case when gone > 0 then concat(chr(10), '♻️ Dublikatlar (olib tashlandi): <b>', {_text('gone')}, '</b>') else '' end,

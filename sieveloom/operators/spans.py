@@ -215,4 +215,6 @@ def j08_zip(d: Dialect) -> str:
 
 def j10_images_of_questions(d: Dialect) -> str:
     """Questions by their ordinals from 0 against the ordinals that have images, here those whose first text is a multiple of 7 long."""
-    return "with q as (select q_no, row_number() over (order by q_no) - 1 as place from (select distinct q_no from @opt) x), i as (select place from (select q_no, min(txt) as first_ from @opt group by q_no) t join q on q.q_no = t.q_no where length(first_) % 7 = 0) select q.q_no, i.place is not null as has_image from q left join i on i.place = q.place"
+    from .resolve import numbered
+
+    return f"with {numbered(d, 'select distinct q_no from @opt')}, q as (select q_no, id - 1 as place from numbered), i as (select place from (select q_no, min(txt) as first_ from @opt group by q_no) t join q on q.q_no = t.q_no where length(first_) % 7 = 0) select q.q_no, i.place is not null as has_image from q left join i on i.place = q.place"

@@ -93,8 +93,8 @@ def a01_stats(d: Dialect) -> str:
 
 
 def a02_success_rate(d: Dialect) -> str:
-    return f"with {_judged(d)} select q_no % 20 as doc_id, count(*) as raw, count_if(is_valid) as valid, case when count(*) = 0 then 0.0e0 else round(count_if(is_valid) * 100.0e0 / count(*), 1) end as success_rate from q group by q_no % 20"
+    return f"with {_judged(d)} select {d.div('q_no', '64')} as doc_id, count(*) as raw, count_if(is_valid) as valid, case when count(*) = 0 then 0.0e0 else round(count_if(is_valid) * 100.0e0 / count(*), 1) end as success_rate from q group by {d.div('q_no', '64')}"
 
 
 def a18_summary(d: Dialect) -> str:
-    return f"with {_judged(d)} select q_no % 20 as doc_id, count_if(c >= 0) as answered, count_if(c < 0) as unanswered from q where is_valid group by q_no % 20"
+    return f"with {_judged(d)} select {d.div('q_no', '64')} as doc_id, count_if(c >= 0) as answered, count_if(c < 0) as unanswered from q where is_valid group by {d.div('q_no', '64')}"

@@ -11,10 +11,10 @@ def quiz_opt(d: Dialect) -> str:
 
 def _quiz(d: Dialect, question: str, option: str, extra: str = "") -> str:
     """Lines of the questions of each document in order: question line, options, and lines of `extra` (pos, text, condition)."""
-    extra = extra and f" union all select o_custkey % 20, o_orderkey, {extra}"
+    extra = extra and f" union all select o_custkey, o_orderkey, {extra}"
     return f"""select doc_id, cast(row_number() over (partition by doc_id order by q_no, pos, text) as bigint) as line_no, text from (
-        select o_custkey % 20 as doc_id, o_orderkey as q_no, cast(0 as bigint) as pos, {question} as text from @orders
-        union all select o_custkey % 20, q_no, pos, {option} from @opt join @orders on o_orderkey = q_no{extra}) x"""
+        select o_custkey as doc_id, o_orderkey as q_no, cast(0 as bigint) as pos, {question} as text from @orders
+        union all select o_custkey, q_no, pos, {option} from @opt join @orders on o_orderkey = q_no{extra}) x"""
 
 
 def classic_lines(d: Dialect) -> str:
@@ -129,7 +129,7 @@ LOG = Plan(batch_log, events="events")
 
 def mixed_lines(d: Dialect) -> str:
     """Documents of all formats."""
-    return "select doc_id, line_no, text from @a union all select doc_id + 100, line_no, text from @b union all select doc_id + 200, line_no, text from @c union all select doc_id + 300, line_no, text from @d"
+    return "select doc_id * 4 as doc_id, line_no, text from @a union all select doc_id * 4 + 1, line_no, text from @b union all select doc_id * 4 + 2, line_no, text from @c union all select doc_id * 4 + 3, line_no, text from @d"
 
 
 MIXED = Plan(mixed_lines, a=CLASSIC, b=ABC, c=BLOCKS, d=GIFT)

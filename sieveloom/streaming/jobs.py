@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,32 +24,47 @@ def admitted(events: DataFrame, allowed: DataFrame, key: str = "user_id") -> Dat
     return events.join(allowed.select(key).distinct(), key, "left_semi")
 
 
-def throttled(events: DataFrame, every: float, key: str = "user_id", ts: str = "ts") -> DataFrame:
+def throttled(events: DataFrame, every: float, key: str = "user_id", ts: str = "ts", late: str = "1 minute") -> DataFrame:
     """(key, ts) of events that pass: each key's first, then any that come `every` seconds after the last that passed.
 
-    State is one time per key. Event time is used, so that a rerun gives the same result.
+    State is one time per key, and is dropped once the watermark is `every` seconds past it, since the key's next event
+    passes then anyway. Event time is used, so that a rerun gives the same result; events later than the watermark are dropped.
     """
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        seen = pd.concat([*frames])[ts].sort_values()
-        passed = []
-        for t in seen:
-            if last is None or t.timestamp() - last >= every:
-                last = t.timestamp()
-                passed.append(t)
-        if last is not None:
-            state.update((last,))
+        passed: list = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last = state.get[0] if state.exists else None
+            for t in pd.concat([*frames])[ts].sort_values():
+                if last is None or t.timestamp() - last >= every:
+                    last = t.timestamp()
+                    passed.append(t)
+            if last is not None:
+                state.update((last,))
+                state.setTimeoutTimestamp(max(int((last + every) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [group[0]] * len(passed), ts: passed})
 
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(step, f"{key} long, {ts} timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, f"{key} long, {ts} timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttled_batch(events: DataFrame, every: float, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """The same over a table, as a fold over each key's times."""
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.col(ts).cast("timestamp").cast("double"))).alias("ts_"))
-    fold = f"aggregate(ts_, cast(array() as array<double>), (a, t) -> if(size(a) = 0 or t - element_at(a, -1) >= {every}, array_append(a, t), a))"
-    return times.select(key, F.explode(F.expr(fold)).alias("t")).select(key, F.timestamp_seconds("t").alias(ts))
+    """The same over a table: one walk over each key's times in order, which holds one time."""
+    rows = events.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").cast("double").alias("t")).where("t is not null")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = last = None
+        for batch in batches:
+            passed = []
+            for k, (who, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if last is None or who != of or t - last >= every:
+                    of, last = who, t
+                    passed.append(k)
+            yield batch.take(pa.array(passed, pa.int64()))
+
+    out = rows.repartition(key).sortWithinPartitions(key, "t").mapInArrow(walk, f"{key} long, t double")
+    return out.select(key, F.timestamp_seconds("t").alias(ts))
 
 
 def latest(events: DataFrame, key: str = "user_id", ts: str = "ts") -> DataFrame:
