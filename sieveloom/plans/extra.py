@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import joined_lines, nfc
 from ..sources.files import decoded, read_docx, route, write_docx
 from ..sources.layouts import quiz_questions, read_docx_lines, read_xlsx_lines
+from ..sources.olddoc import doc_bytes, read_doc_lines
+from ..sources.pagelines import pdf_bytes, read_pdf_glyphs, read_pdf_images, read_pdf_lines
 from ..sources.writers import EXAMPLES, documents, examples, workbooks
 from ..streaming.jobs import throttled_batch
 from . import views as v
@@ -94,6 +96,64 @@ def k09_resolved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), F.col("para").cast("long").alias("para"), "text", "bold", "color")
 
 
+def _example_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of page files: five questions a page, the right option in bold, highlighted by a note or by a fill, and images."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("binary")
+    def packed(numbers, questions):
+        def build(number: int, qs) -> bytes:
+            pages, lettered = [], number % 3 == 0
+            for start in range(0, len(qs), 5):
+                items, y = [], 40
+                for k, x in enumerate(qs[start : start + 5], start + 1):
+                    items.append(("text", 50, y, 11, f"{k}. {x['q']}" if lettered else f"? {x['q']}"))
+                    if k % 5 == 2:
+                        items.append(("image", 50, y + 2, 90, y + 40))
+                    for n, o in enumerate(x["o"]):
+                        y += 14
+                        items.append(("text", 50, y, 11, f"{'ABCD'[n]}) {o}" if lettered else f"= {o}", lettered and n == 0))
+                        if n == 0 and not lettered:
+                            items.append(("note", 45, y - 9, 400, y + 3) if number % 3 == 1 else ("fill", 45, y - 9, 400, y + 3, 1, 1, 0.2))
+                    y += 20
+                pages.append(items)
+            return pdf_bytes(pages, packed=number % 2 == 0)
+
+        return numbers.combine(questions, build)
+
+    return _example_questions(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), packed("doc_id", "questions").alias("content"))
+
+
+def s03_pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page files written and read back as marked lines."""
+    lines = read_pdf_lines(_example_pages(spark, sf_dir))
+    return lines.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), "line_no", "text")
+
+
+def p08_pdf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of page files, by the names that tokens have."""
+    return read_pdf_images(_example_pages(spark, sf_dir)).select("image", (F.hex(F.substring("content", 1, 4)) == "89504E47").alias("png"))
+
+
+def p12_pdf_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs of each page: how many, and the text of those of the first line."""
+    g = read_pdf_glyphs(_example_pages(spark, sf_dir)).where("ch <> ' '")
+    return g.groupBy(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), F.col("page").cast("long").alias("page")).agg(F.count("*").alias("glyphs"), F.expr("listagg(if(round(y0 + 0.8 * size, 3) = 40, ch, ''), '') within group (order by seq)").alias("first_line"))
+
+
+def s27_doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old binary documents of both widths, written and read back."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("binary")
+    def packed(numbers, texts):
+        return numbers.combine(texts, lambda n, x: doc_bytes(x, wide=n % 2 == 0))
+
+    texts = _example_questions(spark, sf_dir).select("doc_id", F.expr("array_join(transform(questions, x -> concat('? ', x.q, '\n', array_join(transform(x.o, (o, i) -> concat(if(i = 0, '+ ', '= '), o)), '\n'))), '\n')").alias("text"))
+    files = texts.select(F.concat(F.col("doc_id").cast("string"), F.lit(".doc")).alias("path"), packed("doc_id", "text").alias("content"))
+    return read_doc_lines(files).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "line_no", "text")
+
+
 def s02_text_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in several encodings, and the first of the ladder that reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "concat('Савол ', doc_id, ' ёлка') as text")
@@ -101,7 +161,7 @@ def s02_text_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", decoded(data).alias("d")).select("doc_id", "d.*")
 
 
-EXTRA = {f.__name__: f for f in (c01_nfc, c09_line_joins, k03_docx_round_trip, s01_route, r08_throttle, w21_set_changes, s06_docx_layouts, s32_xlsx_lines, k11_classic_documents, k09_resolved_documents, s02_text_ladder)}
+EXTRA = {f.__name__: f for f in (c01_nfc, c09_line_joins, k03_docx_round_trip, s01_route, r08_throttle, w21_set_changes, s06_docx_layouts, s32_xlsx_lines, k11_classic_documents, k09_resolved_documents, s02_text_ladder, s03_pdf_lines, p08_pdf_images, p12_pdf_glyphs, s27_doc_lines)}
 _EXAMPLE_SQL = f"""d as (select *, p_partkey // 10 as doc_id, concat('Which part ', p_partkey, ' is it') as q from part where p_partkey // 10 in (select p_partkey // 10 from part group by 1 having count(*) = 10)),
 l as (select *, {list(EXAMPLES)}[doc_id % {len(EXAMPLES)} + 1] as layout, row_number() over (partition by doc_id order by p_partkey) - 1 as nth from d)"""
 ORACLE = {
@@ -116,6 +176,16 @@ ORACLE = {
     "k11_classic_documents": f"with {_EXAMPLE_SQL} select doc_id, nth as q_no, q, concat_ws('|', p_name || ' 1', p_name || ' 2', p_name || ' 3', p_name || ' 4') as o, nth % 5 - 1 as c, cast(case when nth % 3 = 0 then 8 else 0 end as bigint) as image_bytes from l",
     "k09_resolved_documents": f"""with {_EXAMPLE_SQL}, o as (select *, unnest(range(5)) as k from l)
         select doc_id, 2 + nth * 6 + k as para, case when k = 0 then '? ' || q else (case when k - 1 = nth % 5 - 1 then '+ ' else '= ' end) || p_name || ' ' || k end as text, k = 0 as bold, case when k = 0 then null when k - 1 = nth % 5 - 1 then '16A34A' else '475569' end as color from o""",
+    "s03_pdf_lines": f"""with {_EXAMPLE_SQL}, o as (select *, unnest(range(6)) as k from l),
+        t as (select doc_id, nth, k, nth // 5 + 1 as page, doc_id % 3 = 0 as lettered, q, p_name from o where k <> 1 or nth % 5 = 1),
+        u as (select *, case when k = 0 then case when lettered then (nth + 1) || '. ' || q else '? ' || q end when k = 1 then '[[img:images/' || doc_id || '_p' || page || '_i0.png]]'
+            when lettered then case when k = 2 then '#' else '' end || chr(cast(63 + k as int)) || ') ' || p_name || ' ' || (k - 1) else case when k = 2 then '+ ' else '= ' end || p_name || ' ' || (k - 1) end as text from t)
+        select doc_id, page, row_number() over (partition by doc_id order by nth, k) as line_no, text from u""",
+    "p08_pdf_images": f"with {_EXAMPLE_SQL} select 'images/' || doc_id || '_p' || (nth // 5 + 1) || '_i0.png' as image, true as png from l where nth % 5 = 1",
+    "p12_pdf_glyphs": f"""with {_EXAMPLE_SQL}, t as (select doc_id, nth, case when doc_id % 3 = 0 then (nth + 1) || '. ' || q else '? ' || q end as head, p_name, doc_id % 3 = 0 as lettered from l)
+        select doc_id, nth // 5 + 1 as page, cast(sum(length(replace(head, ' ', '')) + 4 * (length(replace(p_name, ' ', '')) + 1 + case when lettered then 2 else 1 end)) as bigint) as glyphs, max(case when nth % 5 = 0 then replace(head, ' ', '') end) as first_line from t group by doc_id, nth // 5""",
+    "s27_doc_lines": f"""with {_EXAMPLE_SQL}, o as (select *, unnest(range(5)) as k from l)
+        select doc_id, row_number() over (partition by doc_id order by nth, k) as line_no, case when k = 0 then '? ' || q else case when k = 1 then '+ ' else '= ' end || p_name || ' ' || k end as text from o""",
     "s02_text_ladder": "select doc_id, case when doc_id % 3 = 0 then concat('Савол ', doc_id) else concat('Савол ', doc_id, ' ёлка') end as text, case when doc_id % 3 = 0 then 'cp1251' else 'utf-8-sig' end as encoding from documents",
     "c01_nfc": "select doc_id, nfc_normalize(replace(text, 'e', 'é')) as text from documents",
     "k03_docx_round_trip": f"select doc_id, line_no, text, starts_with(text, '+') as bold from ({v.CLASSIC.duck()})",
