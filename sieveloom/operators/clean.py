@@ -75,9 +75,9 @@ def c11_bom(d: Dialect) -> str:
 
 
 def c12_page_numbers(d: Dialect) -> str:
-    """Lines that hold only a page number go, unless a line beside them is a separator or an option."""
+    """Lines that hold only a page number go, unless the very next or last line opens with a mark or is a rule."""
     number = d.match("s", "^-?\\s*[0-9]{1,4}\\s*-?$")
-    beside = lambda x: f"coalesce({d.match(x, '^([=+?]|[-_]{3,})')}, false)"
+    beside = lambda x: f"coalesce({d.match(x, '^[=+?]')}, false)"
     return f"""with s as (select doc_id, line_no, text, {d.strip('text')} as s from @lines),
         w as (select *, lag(s) over (partition by doc_id order by line_no) as a, lead(s) over (partition by doc_id order by line_no) as b from s)
         select doc_id, line_no, text from w where not ({number} and not {beside('a')} and not {beside('b')})"""

@@ -50,9 +50,17 @@ def x11_bold_chunks(d: Dialect) -> str:
         select doc_id, para, cast(chunk as bigint) as chunk, {d.strip(d.joined('text', "' '", 'run'))} as text from i where bold group by doc_id, para, chunk"""
 
 
+#: Letters that open options of any kind.
+ANY_LETTER = "\\x{410}-\\x{42F}\\x{401}\\x{430}-\\x{44F}\\x{451}A-Za-z"
+
+
 def x12_bold_option(d: Dialect) -> str:
-    """Paragraphs whose text is a bold chunk, or ends with one after a letter's mark."""
-    return f"with {_paras(d)}, c as ({x11_bold_chunks(d)}) select distinct p.doc_id, p.para from paras p join c on c.doc_id = p.doc_id and c.para = p.para where c.text <> '' and (c.text = p.text or ({d.match('p.text', '^[A-Za-z][.)]')} and substring(p.text, length(p.text) - length(c.text) + 1, length(c.text)) = c.text))"
+    """Lettered paragraphs whose content is a bold chunk, or ends one after a bare letter's mark."""
+    content = d.strip(d.rep(d.strip("p.text"), f"^[{ANY_LETTER}][.)]\\s*", ""))
+    bare = d.match("substring(chunk, 1, length(chunk) - length(content))", f"^[{ANY_LETTER}][.)]?\\s*$")
+    ends = "length(chunk) >= length(content) and substring(chunk, length(chunk) - length(content) + 1, length(content)) = content"
+    return f"""with {_paras(d)}, c as ({x11_bold_chunks(d)}), o as (select p.doc_id, p.para, {content} as content, c.text as chunk from paras p join c on c.doc_id = p.doc_id and c.para = p.para where {d.match('p.text', f'^\\s*[{ANY_LETTER}][.)]\\s*\\S')})
+        select distinct doc_id, para from o where content <> '' and (chunk = content or ({ends} and {bare}))"""
 
 
 def s15_table_bold(d: Dialect) -> str:
@@ -146,11 +154,19 @@ def x18_trailing_footers(d: Dialect) -> str:
 
 
 def g04_split_merged(d: Dialect) -> str:
-    """Options that follow each other on one line are split before each letter's mark."""
-    return f"""with s as (select doc_id, line_no, {d.strip('text')} as s from @lines),
-        m as (select doc_id, line_no, case when {d.match('s', '^([=+?]|[A-F][.)]|[0-9]+[.)])')} then {d.rep('s', '\\s+([A-F]\\)\\s)', '|$1')} else s end as s from s),
-        x as ({d.each('m', 'doc_id, line_no', d.words("replace(replace(s, ' ', chr(7)), '|', ' ')"), 'part', 'piece')})
-        select doc_id, line_no, part, {d.strip('replace(piece, chr(7), chr(32))')} as text from x"""
+    """Items that follow each other on one line are split: before a letter's mark, a plus (not of key names or sums) and an equal sign after a sentence.
+
+    Only lines that open as an item are touched; a mark that would stand alone keeps what follows it.
+    """
+    cut, kept = chr(1), chr(2)
+    x = d.rep("s", "(?i)(ctrl|shift|alt|win|cmd)(\\s+)[+]", f"$1$2{kept}")
+    for pattern in 2 * ("(\\S)\\s+([A-Fa-f][.)]\\s)", "(\\S)\\s+([+]\\s[^0-9])", "([.!?])\\s+(=\\s[^0-9])"):  # twice, as neighbours share a character
+        x = d.rep(x, pattern, f"$1{cut}$2")
+    x = f"replace({d.rep(x, f'^([+=?-])\\s*{cut}', '$1 ')}, '{kept}', '+')"
+    return f"""with s as (select doc_id, line_no, text, {d.strip('text')} as s from @lines),
+        m as (select doc_id, line_no, case when {d.match('s', '^([A-Fa-f][.)]|[0-9]+[.)]|[=+?])')} then {x} else text end as s from s),
+        x as ({d.each('m', 'doc_id, line_no', d.words('s', cut), 'part', 'piece')})
+        select doc_id, line_no, part, case when part > 1 then {d.strip('piece')} else piece end as text from x"""
 
 
 # Tables: rows of (sheet, row_no, c0 .. c4).

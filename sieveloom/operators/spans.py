@@ -58,12 +58,23 @@ def s11_inline_paragraphs(d: Dialect) -> str:
 
 
 def s13_table_blocks(d: Dialect) -> str:
-    """Several narrow tables with enough rules and marked rows in the first ten."""
-    return "select q_no % 20 as doc_id, count(distinct q_no) >= 5 and count_if(pos % 2 = 0) >= 3 and count_if(ok) >= 1 as blocks from @opt group by q_no % 20"
+    """Five tables or more; in the first ten at most two columns, three rules a table and a marked row in every other one."""
+    doc = d.div("q_no", "64")
+    return f"""with t as (select doc_id, q_no, width, row_number() over (partition by doc_id order by q_no) as nth from (select distinct {doc} as doc_id, q_no, case when q_no % 97 = 3 then 3 else 1 end as width from @opt) x),
+        r as (select q_no, '====' as text from @opt union all select q_no, case when ok then concat('#', txt) else txt end from @opt),
+        c as (select t.doc_id, count_if({d.match('r.text', '^={3,}$')}) as rules, count_if({d.match('r.text', '^#')}) as rights from t join r on r.q_no = t.q_no where t.nth <= 10 group by t.doc_id),
+        n as (select doc_id, count(*) as tables, least(count(*), 10) as sample, max(case when nth <= 10 then width else 1 end) as widest from t group by doc_id)
+        select n.doc_id, tables, widest, rules, rights, tables >= 5 and widest <= 2 and rules >= 3 * sample and rights >= greatest(1, {d.div('sample', '2')}) as blocks from n join c on c.doc_id = n.doc_id"""
 
 
 def s17_numbered_bold(d: Dialect) -> str:
-    return f"with {_paras(d)} select doc_id, count_if({d.match('text', '^[?+=]')}) as marked, count_if(para % 4 = 0) as questions, count_if(full_bold) as bolds, count_if({d.match('text', '^[?+=]')}) = 0 and count_if(para % 4 = 0) >= 1 and count_if(strong) >= 3 as numbered_bold from paras group by doc_id"
+    """No marks, five numbered questions, five lettered options and three of them in bold."""
+    from .layout import ANY_LETTER, x12_bold_option
+
+    asks = d.match("s", f"^([0-9]+[.)]|[0-9]{{1,3}}\\s+[{ANY_LETTER}])")
+    return f"""with {_paras(d)}, h as ({x12_bold_option(d)}), s as (select paras.doc_id, {d.strip('text')} as s, h.para is not null as bold from paras left join h on h.doc_id = paras.doc_id and h.para = paras.para),
+        k as (select doc_id, {d.match('s', '^[?+=]')} as marked, {d.match('s', f'^[{ANY_LETTER}][.)]\\s*\\S')} as option, {asks} as asks, bold from s)
+        select doc_id, count_if(marked) as marks, count_if(asks and not option) as questions, count_if(option) as options, count_if(bold) as bolds, count_if(marked) = 0 and count_if(asks and not option) >= 5 and count_if(option) >= 5 and count_if(bold) >= 3 as numbered_bold from k group by doc_id"""
 
 
 def s19_columns_qa(d: Dialect) -> str:
@@ -77,7 +88,10 @@ def s21_unique_columns(d: Dialect) -> str:
 
 
 def s26_stem(d: Dialect) -> str:
-    return f"select doc_id, case when {d.rep(d.rep('substring(text, 1, 30)', '[^A-Za-z0-9_-]+', '_'), '^_+|_+$', '')} = '' then 'doc' else {d.rep(d.rep('substring(text, 1, 30)', '[^A-Za-z0-9_-]+', '_'), '^_+|_+$', '')} end as stem from @docs"
+    """File names as names of image folders."""
+    name = "concat(case when doc_id % 9 = 0 then '__№!' else concat(' Doc ', cast(doc_id as varchar(20)), '/(a-b) №', lang, '.') end)"
+    stem = d.rep(d.rep(name, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    return f"select doc_id, case when {stem} = '' then 'doc' else {stem} end as stem from (select doc_id, coalesce(lang, '') as lang from @docs) x"
 
 
 def s35_raw_questions(d: Dialect) -> str:
@@ -86,9 +100,15 @@ def s35_raw_questions(d: Dialect) -> str:
 
 
 def x10_split_inline(d: Dialect) -> str:
-    """Inline options and numbers start lines."""
-    x = d.rep(d.rep("text", "[ ]{2,}([A-Ea-e][.)] ?)", "~$1"), " (\\d{1,3}[.)] [A-Z])", "~$1")
-    return f"select doc_id, line_no, {d.count(x, '~')} as breaks, replace({x}, '~', chr(10)) as text from @lines"
+    """Options, marks after semicolons and question numbers inside a line start lines of their own."""
+    cut = chr(1)
+    x = d.rep(d.rep("text", "^\\s*([a-fA-F]) \\)", "$1)"), ";\\s*([=+])\\s", f"{cut}$1 ")
+    # a line's start stands before nothing, which the classes of the characters before leave out
+    upper, lower = f"([^\\s#*+=\\x{{2013}}{cut}A-Z0-9(-])\\s*([#*+=]?[A-D]\\))", f"([^\\s#*+=\\x{{2013}}{cut}a-zA-Z0-9(-])\\s*([#*+=]?[a-d]\\))"
+    for pattern in (upper, upper, lower, lower):  # twice, as neighbours share a character
+        x = d.rep(x, pattern, f"$1{cut}$2")
+    x = d.rep(x, f"([^{cut}0-9])\\s+([0-9]{{2,3}}[.)])(\\s)", f"$1{cut}$2$3")
+    return f"select doc_id, line_no, {d.count('x', cut)} as breaks, replace(x, '{cut}', chr(10)) as text from (select doc_id, line_no, {x} as x from @lines) y"
 
 
 def x13_bold_paragraph(d: Dialect) -> str:
@@ -128,7 +148,9 @@ def w04_beside(d: Dialect) -> str:
 
 
 def w05_consecutive(d: Dialect) -> str:
-    return "with n as (select sheet, row_no, row_no * 2 - row_no as n from @cells), l as (select *, lag(n) over (partition by sheet order by row_no) as before from n) select sheet, count_if(n = before + 1) as steps from l group by sheet"
+    """Numbers of the first column that follow the number before them."""
+    number = "^([0-9]{1,9})\\.?\\s*$"
+    return f"with n as (select sheet, row_no, cast({d.ext('c0', number)} as bigint) as n from @cells where {d.match('c0', number)}), l as (select *, lag(n) over (partition by sheet order by row_no) as before from n) select sheet, count(*) as numbers, count_if(n = before + 1) as steps from l group by sheet"
 
 
 def w06_last_four(d: Dialect) -> str:
@@ -193,18 +215,6 @@ def t11_numeric_column(d: Dialect) -> str:
     return f"select sheet, count_if({d.match('c0', '^[0-9]+$')}) = count(*) as numbers, count_if(length(c0) <= 10) = count(*) as short from @cells where c0 <> '' group by sheet"
 
 
-def j05_highlighted_rows(d: Dialect) -> str:
-    from .geometry import p02_highlights
-
-    return p02_highlights(d)
-
-
-def j06_image_rows(d: Dialect) -> str:
-    from .geometry import p09_image_places
-
-    return p09_image_places(d)
-
-
 def j07_bracket_pairs(d: Dialect) -> str:
     return f"select page, seq as open_, close_ from (select page, seq, ch, min(case when ch = ')' then seq end) over (partition by page order by seq rows between 1 following and 400 following) as close_ from @glyphs) x where ch = '(' and close_ is not null"
 

@@ -86,8 +86,9 @@ class Spark(Dialect):
     def each(self, source: str, columns: str, items: str, at: str, item: str) -> str:
         return f"select {columns}, cast({at} + 1 as bigint) as {at}, {item} from {source} lateral view posexplode({items}) as {at}, {item}"
 
-    def words(self, x: str) -> str:
-        return f"split({x}, ' ')"
+    def words(self, x: str, by: str = " ") -> str:
+        """Parts between the single character `by`, which means nothing in patterns."""
+        return f"split({x}, '{by}')"
 
     def array(self, *xs: str) -> str:
         return f"array({', '.join(xs)})"
@@ -162,8 +163,8 @@ class Duck(Dialect):
     def each(self, source: str, columns: str, items: str, at: str, item: str) -> str:
         return f"select {columns}, cast(unnest(range(1, len(_items) + 1)) as bigint) as {at}, unnest(_items) as {item} from (select {columns}, {items} as _items from {source})"
 
-    def words(self, x: str) -> str:
-        return f"string_split({x}, ' ')"
+    def words(self, x: str, by: str = " ") -> str:
+        return f"string_split({x}, '{by}')"
 
     def array(self, *xs: str) -> str:
         return f"[{', '.join(xs)}]"

@@ -65,14 +65,15 @@ for _name in ("k01_json", "k08_classic_text", "a13_mode", "w08_exactly_one", "w1
 PLANS["k04_math_letters"] = Plan(export.k04_math_letters, docs=v.DIRTY)
 
 for _names, _inputs in (
-    (("p01_script_marks", "p03_highlight_rects", "w12_sorted", "a17_size_range", "j05_highlighted_rows", "j06_image_rows", "j07_bracket_pairs"), {"glyphs": v.GLYPHS}),
+    (("p01_script_marks", "p03_highlight_rects", "w12_sorted", "a17_size_range", "j07_bracket_pairs"), {"glyphs": v.GLYPHS}),
     (("p04_split_glued", "p05_drop_glued", "w02_next_line", "w03_previous_line", "w04_beside", "w19_common_words"), {"lines": DOC_LINES}),
     (("p06_bold_options", "p07_highlight_marks", "s11_inline_paragraphs", "s17_numbered_bold", "x13_bold_paragraph", "j08_zip"), {"runs": v.RUNS}),
     (("s13_table_blocks", "s35_raw_questions", "g02a_letter_key", "w06_last_four", "w07_first_match", "w10_all_of_group", "k07_lines", "j10_images_of_questions"), {"opt": v.OPT}),
     (("s19_columns_qa", "s21_unique_columns", "w05_consecutive", "w18_union", "a20_distinct", "t09_header_drop", "t11_numeric_column"), {"cells": v.CELLS}),
-    (("s26_stem", "g06b_image_token", "w14_truncate"), {"docs": v.DIRTY}),
+    (("g06b_image_token", "w14_truncate"), {"docs": v.DIRTY}),
     (("g11_states", "x10_split_inline", "a11_features", "a12_markers"), {"lines": v.CLASSIC}),
     (("w11_sessions",), {"log": v.LOG}),
+    (("s26_stem",), {"docs": "documents"}),
     (("s05_pages",), {"lines": DOC_LINES, "pages": v.PAGES}),
 ):
     for _name in _names:

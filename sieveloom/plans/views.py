@@ -97,9 +97,14 @@ def glyphs(d: Dialect) -> str:
 
 
 def runs(d: Dialect) -> str:
-    """Styled runs of paragraphs; `listed` where the paragraph is numbered by its list."""
+    """Styled runs of paragraphs, twenty conversations to a document: numbered questions, lettered options of which some are bold after or with
+    their mark, options on lines of their own within a paragraph, marked lines in some documents; `listed` where the paragraph is numbered by its list."""
     x = d.each("@conversations", "conv_id, turn", d.words("text"), "run", "w")
-    return f"select conv_id as doc_id, turn as para, run, w as text, (turn + run) % 3 = 0 as bold, cast((conv_id * 37 + run * 61) % 256 as bigint) as r, cast((conv_id * 11 + run * 91) % 256 as bigint) as g, cast(run * 29 % 256 as bigint) as b, run % 17 = 5 as highlight, turn % 4 = 0 as listed from ({x}) x"
+    doc, letter = d.div("conv_id", "20"), "substring('ABCD', cast(1 + turn % 4 as int), 1)"
+    head = f"case when turn % 5 = 0 then case when conv_id % 60 = 7 then '? ' else concat(cast(1 + turn as varchar(20)), '. ') end when turn % 5 = 4 then '' else concat({letter}, case when conv_id % 2 = 0 then '. ' else ') ' end) end"
+    text = f"case when run = 1 then concat({head}, w) when turn % 5 = 4 and run between 3 and 4 then concat(chr(10), case when run = 3 then 'a. ' else 'b. ' end, w) else w end"
+    bold = "case when turn % 5 between 1 and 3 then turn % 3 = 1 and (conv_id % 4 < 2 or run > 1) else (turn + run) % 3 = 0 end"
+    return f"select {doc} as doc_id, cast(conv_id % 20 * 1000 + turn as bigint) as para, run, {text} as text, {bold} as bold, cast((conv_id * 37 + run * 61) % 256 as bigint) as r, cast((conv_id * 11 + run * 91) % 256 as bigint) as g, cast(run * 29 % 256 as bigint) as b, run % 17 = 5 as highlight, turn % 4 = 0 as listed from ({x}) x"
 
 
 def page_counts(d: Dialect) -> str:
