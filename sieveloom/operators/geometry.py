@@ -77,12 +77,6 @@ def a16_bbox(d: Dialect) -> str:
     return f"with {_tokens(d)} select page, min(x0) as x0, min(y0) as y0, max(x1) as x1, count(*) as tokens from tokens group by page"
 
 
-def p05_glued(d: Dialect) -> str:
-    """A question glued to the end of an option: a lower-case letter before an upper-case one with words after it."""
-    glued = "^(.*[\\p{Ll}])([\\p{Lu}][\\p{Ll}]+ [^ ]+ [^ ]+.*\\?)$"
-    return f"select doc_id, line_no, {d.ext('text', glued, 1)} as left_, {d.ext('text', glued, 2)} as right_ from @lines where {d.match('text', glued)}"
-
-
 def p11_wrapped(d: Dialect) -> str:
     """Whether a line goes on in the next: it starts low, and the last words of one are not the first of the other."""
     plain = lambda x: d.keep(d.words(f"lower({d.strip(x)})"), "w", "length(w) > 2")

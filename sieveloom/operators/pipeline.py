@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from ..plans.dialect import Dialect
 from . import clean, parse
+from .validate import LEAST, MOST
 
 Op = Callable[[Dialect], str]
 
@@ -44,3 +45,14 @@ def e1_documents(d: Dialect) -> str:
         q as (select distinct format, doc_id, q from p),
         j as (select q.format, q.doc_id, coalesce(n.n, 0) as n, coalesce(n.right_, 0) as right_ from q left join n on n.format = q.format and n.doc_id = q.doc_id and n.q = q.q)
         select doc_id, format, count(*) as raw, count_if(n >= 2) as valid, count_if(n >= 2 and right_ = 0) as unanswered, count_if(n >= 2 and right_ > 1) as many_right, round(count_if(n >= 2) * 100.0e0 / count(*), 1) as success_rate from j group by doc_id, format"""
+
+
+def e1_flagship(d: Dialect) -> str:
+    """Each document's lines parsed by their format, its questions validated, duplicates taken out (a valid one stays rather than one that isn't), and its statistics."""
+    return f"""with p as ({g00_route(d)}),
+        filled as (select format, doc_id, q, opt, text, ok, row_number() over (partition by format, doc_id, q order by opt) as nth from p where opt > 0 and text <> ''),
+        kept as (select format, doc_id, q, count(distinct text) as n_options, max(case when ok then 1 else 0 end) as answered from filled where nth <= {MOST} group by format, doc_id, q),
+        raw as (select format, doc_id, q, coalesce(max(case when opt = 0 then text end), '') as question, count_if(opt > 0 and text <> '') as n_filled, {d.joined("case when opt > 0 then lower(text) end", "'|'", 'opt')} as signature from p group by format, doc_id, q),
+        j as (select raw.*, coalesce(answered, 0) as answered, question <> '' and n_filled >= {LEAST} and coalesce(n_options, 0) >= {LEAST} as valid from raw left join kept on kept.format = raw.format and kept.doc_id = raw.doc_id and kept.q = raw.q),
+        u as (select *, row_number() over (partition by format, doc_id, lower(question), coalesce(signature, '') order by case when valid then 0 else 1 end, q) as best from j)
+        select doc_id, format, count(*) as raw, count_if(best > 1) as duplicates, count_if(best = 1 and valid) as valid, count_if(best = 1 and not valid) as invalid, count_if(best = 1 and valid and answered = 0) as unanswered, round(count_if(best = 1 and valid) * 100.0e0 / count(*), 1) as success_rate from u group by doc_id, format"""

@@ -10,7 +10,8 @@ from .validate import _options
 
 #: Offsets of small spans from the base line, and their share of its size.
 HIGH, RAISED, LOWERED, LOW, SMALL = 5.5, 1.5, -1.5, -6.0, 0.85
-GLUED = "^(.*[\\p{Ll}])([\\p{Lu}][\\p{Ll}]* [^ ]+ [^ ]+.*)$"
+# Fixed value: a small letter right before a capital one that opens three words or more.
+GLUED = "^(.*?[a-zа-яёʻʼ_])([A-ZА-ЯЁ]\\S*(?:\\s+\\S+){2,})\\s*$"
 
 
 def p01_script_marks(d: Dialect) -> str:
@@ -28,13 +29,13 @@ def p03_highlight_rects(d: Dialect) -> str:
 
 def p04_split_glued(d: Dialect) -> str:
     """A glued question becomes a line of its own."""
-    hit = f"({d.match('text', GLUED)} and {d.match('text', '[?]$')})"
+    hit = f"({d.match('text', GLUED)} and {d.match('text', '[?]\\s*$')} and not {d.match('text', '^\\s*[?]')})"
     return f"select doc_id, line_no, cast(0 as bigint) as part, case when {hit} then {d.ext('text', GLUED, 1)} else text end as text from @lines union all select doc_id, line_no, cast(1 as bigint), concat('? ', {d.ext('text', GLUED, 2)}) from @lines where {hit}"
 
 
 def p05_drop_glued(d: Dialect) -> str:
     """A glued fragment that asks nothing goes."""
-    return f"select doc_id, line_no, case when {d.match('text', GLUED)} and not {d.match('text', '[?]$')} then {d.ext('text', GLUED, 1)} else text end as text from @lines"
+    return f"select doc_id, line_no, case when {d.match('text', GLUED)} and not {d.match('text', '[?]\\s*$')} and not {d.match('text', '^\\s*[?]')} then {d.ext('text', GLUED, 1)} else text end as text from @lines"
 
 
 def p06_bold_options(d: Dialect) -> str:

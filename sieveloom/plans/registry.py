@@ -58,15 +58,15 @@ for _name in ("t01_layout", "t02_star_marker", "t03_header_rows", "t04_merged_he
     PLANS[_name] = Plan(getattr(layout, _name), cells=v.CELLS)
 for _name in ("p02_highlights", "p09_image_places", "p12_glyphs", "p13_rows", "p14_tokens", "p15_matrix_elements", "p16_matrix_rows", "p17_brackets", "p19_orphan_arrows", "p20_fix_arrows", "a15_span_statistics", "a16_bbox"):
     PLANS[_name] = Plan(getattr(geometry, _name), glyphs=v.GLYPHS)
-for _name in ("p05_glued", "p11_wrapped"):
-    PLANS[_name] = Plan(getattr(geometry, _name), lines=DOC_LINES)
+PLANS["p11_wrapped"] = Plan(geometry.p11_wrapped, lines=DOC_LINES)
 for _name in ("k01_json", "k08_classic_text", "a13_mode", "w08_exactly_one", "w13_head", "a21_collect"):
     PLANS[_name] = Plan(getattr(export, _name), opt=v.OPT)
 PLANS["k04_math_letters"] = Plan(export.k04_math_letters, docs=v.DIRTY)
 
 for _names, _inputs in (
     (("p01_script_marks", "p03_highlight_rects", "w12_sorted", "a17_size_range", "j07_bracket_pairs"), {"glyphs": v.GLYPHS}),
-    (("p04_split_glued", "p05_drop_glued", "w02_next_line", "w03_previous_line", "w04_beside", "w19_common_words"), {"lines": DOC_LINES}),
+    (("p04_split_glued", "p05_drop_glued"), {"lines": v.GLUED}),
+    (("w02_next_line", "w03_previous_line", "w04_beside", "w19_common_words"), {"lines": DOC_LINES}),
     (("p06_bold_options", "p07_highlight_marks", "s11_inline_paragraphs", "s17_numbered_bold", "x13_bold_paragraph", "j08_zip"), {"runs": v.RUNS}),
     (("s13_table_blocks", "s35_raw_questions", "g02a_letter_key", "w06_last_four", "w07_first_match", "w10_all_of_group", "k07_lines", "j10_images_of_questions"), {"opt": v.OPT}),
     (("s19_columns_qa", "s21_unique_columns", "w05_consecutive", "w18_union", "a20_distinct", "t09_header_drop", "t11_numeric_column"), {"cells": v.CELLS}),
@@ -97,12 +97,5 @@ PLANS["g00_route"] = Plan(pipeline.g00_route, lines=v.MIXED)
 PLANS["e1_documents"] = Plan(pipeline.e1_documents, lines=v.MIXED)
 
 
-def _flagship(d):
-    """Detected formats, questions and options of each document's marked lines."""
-    from ..operators.parse import g02_classic, g05_detect
-
-    return f"with f as ({g05_detect(d)}), p as ({g02_classic(d)}), q as (select doc_id, q, count_if(opt > 0) as n_opt, count_if(opt > 0 and ok) as right_ from p group by doc_id, q) select f.doc_id, f.format, count(q.q) as raw, count_if(n_opt >= 2) as valid, count_if(right_ = 0) as unanswered, case when count(q.q) = 0 then 0.0e0 else round(count_if(n_opt >= 2) * 100.0e0 / count(q.q), 1) end as success_rate from f left join q on q.doc_id = f.doc_id group by f.doc_id, f.format"
-
-
-FLAGSHIP = Plan(_flagship, lines=v.CLASSIC)
+FLAGSHIP = Plan(pipeline.e1_flagship, lines=v.MIXED)
 PLANS["e1_flagship"] = FLAGSHIP

@@ -107,6 +107,11 @@ def runs(d: Dialect) -> str:
     return f"select {doc} as doc_id, cast(conv_id % 20 * 1000 + turn as bigint) as para, run, {text} as text, {bold} as bold, cast((conv_id * 37 + run * 61) % 256 as bigint) as r, cast((conv_id * 11 + run * 91) % 256 as bigint) as g, cast(run * 29 % 256 as bigint) as b, run % 17 = 5 as highlight, turn % 4 = 0 as listed from ({x}) x"
 
 
+def glued_lines(d: Dialect) -> str:
+    """Lines of documents in which sentences stand together without a space; every third one asks."""
+    return f"select doc_id, line_no, concat(case when line_no % 7 = 2 then '? ' else '' end, {d.rep('text', '([a-z])[.] ([A-Z])', '$1$2')}, case when line_no % 3 = 0 then '?' else '' end) as text from ({d.lines('@documents', 'doc_id', 'text')}) l"
+
+
 def page_counts(d: Dialect) -> str:
     """Lines on each page of the documents as they were before cleaning, by page lengths of 3 to 7 lines."""
     return f"select doc_id, page, count(*) as n_lines from (select doc_id, {d.div('(line_no - 1)', '(3 + doc_id % 5)')} + 1 as page from ({d.lines('@documents', 'doc_id', 'text')}) x) y group by doc_id, page"
@@ -127,6 +132,7 @@ DIRTY = Plan(dirty_docs, documents="documents")
 ANSWERS = Plan(answers, lineitem="lineitem")
 GLYPHS = Plan(glyphs, embeddings="embeddings")
 RUNS = Plan(runs, conversations="conversations")
+GLUED = Plan(glued_lines, documents="documents")
 PAGES = Plan(page_counts, documents="documents")
 CELLS = Plan(cells, opt=OPT)
 LOG = Plan(batch_log, events="events")
