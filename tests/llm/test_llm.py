@@ -14,18 +14,19 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sieveloom.llm import queries
+from sieveloom.llm import queries, words
 from sieveloom.llm.chat import read_back, windows
 from sieveloom.llm.common import components, table
 from sieveloom.llm.embeddings import candidates, near_vectors
+from sieveloom.llm.labelled import sample
 from sieveloom.llm.lm import backoff_scores
 from sieveloom.llm.minhash import deduplicate, near_duplicates
 from sieveloom.llm.packing import Limits, Packer, encoding, pack
 from sieveloom.llm.pieces import CharacterMap, Pieces, encode_pieces
-from sieveloom.llm.quality import classify_quality, shape
+from sieveloom.llm.quality import classify_quality, features, fit_quality, shape
 from sieveloom.llm.rules import fences, judge, measures
 from sieveloom.llm.token_counts import PrefixCounter, count_tokens, kept
-from sieveloom.llm.toxicity import INSULT, Grammar, classify_toxicity
+from sieveloom.llm.toxicity import INSULT, Grammar, classify_toxicity, fit_toxicity
 
 from ..conftest import DATA
 
@@ -376,6 +377,90 @@ def test_pipeline(spark):
     assert packed <= kept and len(packed - calm) <= 0.03 * len(packed)  # its grammar is learned from what quality kept
 
 
+def test_pipeline_cases(spark, docs, tmp_path):
+    """Each stage alone over null, empty, repeated and odd rows, with columns that clash, and over an empty table."""
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs.unionByName(spark.createDataFrame([(None, "word", None, None, None, None), (12, "another text under the same id", "en", "s", 1, "x")], docs.schema)).withColumnsRenamed({"score": "cls", "n_tokens": "mark"})
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+    one = c.drop_near_duplicates(spark, odd, str(tmp_path))
+    assert one.where("doc_id = 12").count() == 2 and one.where("text = 'word'").count() == 2 and one.where("text is null").count() == 1
+    packed = c.pack_sequences(spark, odd, str(tmp_path))
+    assert packed.where("doc_id = 0").select("length", "doc_tokens").collect() == [(1, 1)] and packed.where("doc_id is null").count() >= 1
+    assert c.pack_sequences(spark, odd.limit(0), str(tmp_path)).count() == 0
+
+
+def test_votes_by_brute_force(spark):
+    """Scores against one document at a time, in double precision, with a full sort."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = fit_quality(sample(docs, labels, "quality", 4, 2, {0: 2000, 1: 2000}))
+    got = {r.doc_id: r.score for r in classify_quality(docs, labels).collect()}
+    for r in docs.collect():
+        f = features(r.text).astype(np.float64) * model.weights
+        if not f.any():
+            assert got[r.doc_id] == 0
+            continue
+        v = (f / np.linalg.norm(f)) @ model.projection.astype(np.float64)
+        cosines = model.vectors.astype(np.float64) @ (v / np.linalg.norm(v))
+        last = sorted(cosines)[-min(15, len(cosines))]
+        votes = [(max(x, 1e-6) ** 4, y) for x, y in zip(cosines, model.labels) if x >= last - 1e-6]
+        assert got[r.doc_id] == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=0.08)
+
+
+def test_grammar_by_brute_force(spark):
+    """The composed machine against its transducers run one after the other over each clause."""
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    machine = fit_toxicity(docs, table(spark, sf, "labels"))
+    scores = {r.doc_id: r.score for r in classify_toxicity(docs, table(spark, sf, "labels")).collect()}
+
+    def evidence(text):
+        total = 0.0
+        for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+            words = re.findall(r"[^\W_]+(?:'[^\W_]+)?", clause)
+            best, since = 0.0, {3: 99, 4: 99, 5: 99}
+            for w in words:
+                kind, weight = machine._read(w)
+                if kind in (1, 2) and not (kind == 2 and since[3] >= 5):
+                    best = max(best, weight * (1.25 if since[3] < 5 else 1) * (0.4 if since[4] < 3 else 1) * (0.6 if since[5] < 8 else 1))
+                since = {k: 0 if kind == k else n + 1 for k, n in since.items()}
+            total += best
+        return total
+
+    for r in docs.collect():
+        assert scores[r.doc_id] == pytest.approx(1 - 2 ** (-evidence(r.text) / machine.bar), abs=1e-9)
+
+
+def test_words_in_runs(monkeypatch, hostile):
+    """Texts longer than a run are cut between words, so that nothing changes."""
+    for kind in ("letters", "blanks"):
+        whole = words.word_hashes([*hostile, None], kind)
+        monkeypatch.setattr(words, "BLOCK_CHARS", 37)
+        cut = words.word_hashes([*hostile, None], kind)
+        monkeypatch.undo()
+        assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert words.word_hashes([None, ""])[1].tolist() == [0, 0]
+    pattern = re.compile(r"[^\W_]+")
+    hashes, counts = words.word_hashes(hostile)
+    flat = [w for x in hostile for w in pattern.findall(x.lower())]
+    assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_very_long_texts(spark):
+    """One text beyond the runs in which texts are handed on, between small ones."""
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(700_000))
+    docs = spark.createDataFrame([(1, "short one"), (2, long), (3, long + " end"), (4, None)], "doc_id long, text string")
+    assert len(long) > 4_000_000
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+    assert {r.doc_id: r.n_words for r in backoff_scores(docs).collect()} == {1: 2, 2: 700_000, 3: 700_001, 4: 0}
+    assert sum(r.length for r in pack(docs, public_tokenizers.path("byte_bpe_50k.json")).where("doc_id = 2").collect()) > 700_000
+
+
 def test_digests(spark):
     rows = {r.doc_id: r for r in queries.QUERIES["op9_sentencepiece"](spark, DATA).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
