@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a
 DataFrame, which is written and read again as the next one's docs. All but the last return the
 columns of documents.
+
+Cases, of all stages: null and empty texts score 0 for quality, so the first stage drops them; later stages alone
+keep them (they aren't toxic, and are groups of their own) and pack them as the single end id; rows that share an id
+are documents each, and near-duplicates among them go like any others; rows alike in id and text stay or go together;
+a null id is an id like others; extra columns pass through all stages but the last, whatever they are called; an empty table
+gives an empty result at each stage; without labelled rows of both kinds the classifier accepts nothing (0.5 is below its bar) and the grammar knows only its given words.
 """
 
 from __future__ import annotations
