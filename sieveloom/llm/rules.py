@@ -34,12 +34,13 @@ def _top_bits(value: str) -> str:
     return f"shiftleft(shiftright({value}, {over}), {over})"
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
+def measures(docs: DataFrame, text: str = "text", spare: int = 0) -> DataFrame:
     """docs without the text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Repeated 3-word windows are found without comparing all: each window's hash shares a number with
     its position in the low bits, the numbers are sorted, and neighbours with the same hash are
-    repeats; a repeat counts only if its words are equal.
+    repeats if their words are equal. Where neighbours share a hash and not the words, that text's windows are sorted by their words
+    instead. `spare` takes more bits off the hash, for tests of that case.
     """
     keep = [c for c in docs.columns if c not in (text, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]
     d = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
@@ -50,16 +51,21 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     })
     d = d.select(*keep, "n_symbols", "_w", F.expr("cast(size(_w) as bigint)").alias("n_words"), F.expr("cast(length(array_join(_w, '')) as bigint)").alias("word_chars"), F.expr("cast(size(_l) as bigint)").alias("n_lines"), F.expr("cast(size(_l) - size(array_distinct(_l)) as bigint)").alias("n_dup_lines"), F.expr("transform(_w, x -> xxhash64(x))").alias("_h"))
     # _k: bits of a position. Few documents have equal windows at all, and only these take the second step.
-    d = d.withColumn("_k", F.expr("length(bin(n_words))"))
+    d = d.withColumn("_k", F.expr(f"length(bin(n_words)) + {spare}"))
     d = d.withColumn("_s", F.expr("if(n_words < 4, cast(array() as array<bigint>), sort_array(transform(slice(_h, 1, cast(n_words as int) - 2), (x, i) -> shiftleft(xxhash64(x, _h[i + 1], _h[i + 2]), _k) | i)))"))
-    d = d.withColumn("_m", F.expr("cast(shiftleft(1L, _k) - 1 as int)"))
+    d = d.withColumn("_m", F.expr("shiftleft(1L, _k) - 1"))
     d = d.withColumn("_p", F.expr("""transform(filter(transform(_s, (x, i) -> named_struct('a', x, 'b', if(i = 0, null, _s[i - 1]), 'c', get(_s, i + 1))),
         z -> (z.b is not null and shiftright(z.a, _k) = shiftright(z.b, _k)) or (z.c is not null and shiftright(z.a, _k) = shiftright(z.c, _k))), z -> named_struct(
         'p', cast(z.a & _m as int),
         'b', if(z.b is not null and shiftright(z.a, _k) = shiftright(z.b, _k), cast(z.b & _m as int), -1),
         'c', if(z.c is not null and shiftright(z.a, _k) = shiftright(z.c, _k), cast(z.c & _m as int), -1)))"""))
     same = " and ".join(f"_w[q.p + {j}] = _w[q.{{0}} + {j}]" for j in range(3))
-    d = d.withColumn("n_repeat_words", F.expr(f"cast(size(array_distinct(flatten(transform(filter(_p, q -> (q.b >= 0 and {same.format('b')}) or (q.c >= 0 and {same.format('c')})), q -> array(q.p, q.p + 1, q.p + 2))))) as bigint)"))
+    fast = f"transform(filter(_p, q -> (q.b >= 0 and {same.format('b')}) or (q.c >= 0 and {same.format('c')})), q -> q.p)"
+    odd = f"exists(_p, q -> (q.b >= 0 and not ({same.format('b')})) or (q.c >= 0 and not ({same.format('c')})))"
+    sorted_ = "array_sort(transform(slice(_w, 1, cast(n_words as int) - 2), (x, i) -> named_struct('g', concat(x, ' ', _w[i + 1], ' ', _w[i + 2]), 'p', i)))"
+    slow = f"aggregate(array({sorted_}), cast(array() as array<int>), (a, s) -> transform(filter(transform(s, (z, i) -> named_struct('p', z.p, 'again', (i > 0 and s[i - 1].g = z.g) or (i < size(s) - 1 and get(s, i + 1).g = z.g))), z -> z.again), z -> z.p))"
+    places = f"case when {odd} then {slow} else {fast} end"
+    d = d.withColumn("n_repeat_words", F.expr(f"cast(size(array_distinct(flatten(transform({places}, p -> array(p, p + 1, p + 2))))) as bigint)"))
     return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 

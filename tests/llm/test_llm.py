@@ -147,6 +147,21 @@ def test_shape_of_long_words():
     assert shape("a" * 64 + "##") != shape("a" * 70) and shape("a" * 5000) == "L"
 
 
+@pytest.mark.parametrize("spare", [0, 50, 54])
+def test_repeated_windows(spark, spare):
+    """Also where so few bits of hashes are left that unlike windows share them."""
+    rng = random.Random(21)
+    texts = {k: " ".join(rng.choices("abcd", k=rng.choice([0, 1, 2, 3, 5, 9, 24]))) for k in range(60)} | {99: "w " * 300, 100: None}
+
+    def repeats(x):
+        w = (x or "").split()
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        return len({p for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)})
+
+    got = measures(spark.createDataFrame([*texts.items()], "doc_id long, text string"), spare=spare).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {k: repeats(x) for k, x in texts.items()}
+
+
 def test_group_fences_move_smoothly(spark):
     """Own quartiles weigh n : PRIOR, without a step."""
     rng = random.Random(4)
