@@ -154,7 +154,7 @@ def _read(read, columns: list[str]):
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     rows = read(bytes(content))
-                except (KeyError, ValueError, AttributeError, zipfile.BadZipFile, ET.ParseError):
+                except UNREADABLE:
                     continue
                 yield pd.DataFrame([{"path": path} | r for r in rows], columns=columns)
 
@@ -171,22 +171,38 @@ def read_xlsx(source: DataFrame) -> DataFrame:
     return source.select("path", "content").mapInPandas(_read(xlsx_rows, ["path", "sheet", "row_no", "cells"]), CELLS)
 
 
-def errors(source: DataFrame) -> DataFrame:
-    """(path, error) of containers that can't be read."""
+#: What a reader raises at a file that isn't what its name says, or is damaged.
+UNREADABLE = (KeyError, ValueError, AttributeError, IndexError, TypeError, zipfile.BadZipFile, ET.ParseError, EOFError, NotImplementedError)
+
+
+def errors(source: DataFrame, read=None) -> DataFrame:
+    """(path, error) of files in (path, content) that the reader can't read, by default that of word-processor documents."""
+    read = read or docx_runs
 
     @pandas_udf("string")
     def error(content: pd.Series) -> pd.Series:
         def test(data):
             try:
-                zipfile.ZipFile(io.BytesIO(bytes(data))).testzip()
-            except zipfile.BadZipFile as e:
-                return str(e)
+                read(bytes(data))
+            except UNREADABLE as e:
+                return f"{type(e).__name__}: {e}"
 
         return content.map(test)
 
     return source.select("path", error("content").alias("error")).where("error is not null")
 
 
+#: Suffixes of files that are taken, and their most bytes.
+TAKEN, MOST_BYTES = (".pdf", ".docx", ".doc", ".xlsx", ".txt"), 20 * 1024 * 1024
+
+
+def incoming(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of files (path, ext, length, content) as they come into a folder; those of other kinds or too large are left out."""
+    df = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    df = df.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("ext"), "length", "content")
+    return df.where(F.col("ext").isin(*TAKEN) & (F.coalesce("length", F.lit(0)) <= MOST_BYTES))
+
+
 _PARTS = {
     "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
     "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',

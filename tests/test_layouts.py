@@ -7,8 +7,8 @@ import zipfile
 import pytest
 
 from sieveloom.config import AllowedUsers, load_settings, logger, model_of
-from sieveloom.sources import layouts
-from sieveloom.sources.files import M, R, W, files
+from sieveloom.sources import layouts, writers
+from sieveloom.sources.files import M, R, W, errors, files, incoming
 from sieveloom.streaming import resolver
 
 A = layouts.A
@@ -126,6 +126,36 @@ def test_read(spark, tmp_path):
     assert layouts.read_docx_images(files(spark, str(tmp_path), ".docx")).count() == 0
 
 
+def test_sinks(spark, tmp_path):
+    questions = spark.createDataFrame([(1, 2, "second", ["x", "y"], -1, b"\xff\xd8J"), (1, 1, "first & <b>", ["a", "b", "c"], 1, None), (2, 1, "other", ["p", "q"], 0, None)], "doc_id long, q_no int, q string, o array<string>, c int, image binary")
+    assert writers.save_files(writers.documents(questions), f"{tmp_path}/docs") == 2 and writers.save_files(writers.documents(questions, resolved=True), f"file://{tmp_path}/shown") == 2
+    first, second = layouts.quiz_questions((tmp_path / "docs/1.docx").read_bytes())
+    assert (first["question"], first["right"], second["image"]) == ("first & <b>", [False, True, False], b"\xff\xd8J")
+    shown = layouts.Document((tmp_path / "shown/2.docx").read_bytes())
+    assert [(p.text, p.runs[0].color, p.runs[0].bold) for p in shown.top if p.text][1:] == [("? other", None, True), ("+ p", writers.RIGHT, False), ("= q", writers.OTHER, False)]
+    for full in (False, True):
+        writers.save_json(questions.drop("image"), f"{tmp_path}/json", full)
+        rows = [json.loads(x) for f in (tmp_path / "json").glob("*.json") for x in f.read_text().splitlines()]
+        assert len(rows) == 3 and all(("q_no" in r) == full and {"q", "o", "c"} <= set(r) for r in rows)
+    writers.save_text(questions, f"{tmp_path}/text")
+    text = "".join(f.read_text() for f in sorted((tmp_path / "text/doc_id=1").glob("*.txt")))
+    assert text == "? first & <b>\n= a\n+ b\n= c\n\n? second\n= x\n= y\n\n"
+
+
+def test_incoming(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.docx", docx("? q")), ("b.exe", b"x"), ("c.TXT", b"? q"), ("d.pdf", b"%PDF")):
+        (tmp_path / "in" / name).write_bytes(data)
+    q = incoming(spark, f"{tmp_path}/in").select("ext", "length").writeStream.format("memory").queryName("incoming").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.ext for r in spark.table("incoming").collect()) == [".docx", ".pdf", ".txt"]
+
+
+def test_errors(spark):
+    source = spark.createDataFrame([("a.docx", bytearray(docx("? q"))), ("b.docx", bytearray(b"no")), ("c.docx", bytearray(b"PK\x05\x06" + bytes(18)))], "path string, content binary")
+    assert {r.path: r.error.split(":")[0] for r in errors(source).collect()} == {"b.docx": "BadZipFile", "c.docx": "KeyError"}
+
+
 class Made:
     """A resolver that loses connections, and whose job ends at the third look."""
 
