@@ -15,12 +15,12 @@ weights are rounded to powers of STEP when signing, so that ln a is looked up; a
 calculated. Classes that agree in a band meet; pairs are verified exactly by weighted Jaccard similarity.
 
 No bucket is expanded into all its pairs. In each of ROUNDS rounds the class of each bucket that meets most
-others is compared with the bucket's other classes, and links are contracted to components. What then
-remains are buckets whose other classes are in several components. Their classes are joined by rare shingles:
+others is compared with the bucket's other classes, and classes linked to one class are taken together. What then
+remains are buckets whose other classes aren't together. Their classes are joined by rare shingles:
 with shingles in one order, rarest first, two texts of similarity s or more share a first shingle b, and all
 they share is from b on, so total + total' <= (1 + s) / s * least(rest, rest') with rest the weight from
-b on (a prefix filter, exact). Only pairs across components are looked for, so however dense a group is, its members
-meet the few that are not linked yet. All those pairs are verified. More rounds leave less to that join; the result stays the same.
+b on (a prefix filter, exact). Only pairs that aren't together are looked for, so however dense a group is, its members
+meet the few that are not linked yet. All those pairs are verified, and groups are the components of all links. More rounds leave less to that join; the result stays the same.
 
 Cases: rows are told apart by id and text, so texts that share an id are documents each, and rows that agree in both
 stay or go together; a null id is an id like others (class_id is the least that isn't null); null and empty texts are groups of their own; texts without
@@ -262,6 +262,13 @@ def _paired(pairs: DataFrame) -> DataFrame:
     return pairs.select("lo", "hi", F.col("m.x").alias("a"), F.when(F.col("m.x") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), F.col("m.n").alias("n"))
 
 
+def _together(links: DataFrame) -> DataFrame:
+    """(node, root) of the classes b of links (a, b): the least class that one is linked to, or what that is linked to in turn. Classes of one root are in one component."""
+    first = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    second = first.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return first.join(second, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+
+
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """(id, mark, class_id, kept) of every row of docs; mark tells texts of one id apart. Written; all else that was written on the way is dropped."""
     spark, parts = docs.sparkSession, []
@@ -290,13 +297,13 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         new = held(pairs.join(tried, ["lo", "hi"], "left_anti"))
         tried = tried.union(new.select("lo", "hi"))
         links = links.union(held(verified(new, texts, signer, least)))
-        roots = held(components(links))
+        roots = held(_together(links))
 
     def placed(cells: DataFrame) -> DataFrame:
-        """Cells with the component of each class, of buckets with several."""
+        """Cells with the root of each class, of buckets with several."""
         if roots is None:
             return cells.withColumn("root", F.col("cls"))
-        cells = cells.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "rank", F.coalesce("component", "cls").alias("root"))
+        cells = cells.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "rank", F.coalesce("root", "cls").alias("root"))
         split = cells.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
         return held(cells.join(split, "bucket"))
 
@@ -313,8 +320,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         pairs = across(last, texts, signer, least)
         compare(_paired(pairs))
         forget(pairs)
-    ends = classes.select("cls", "first")
-    ends = ends.withColumn("component", F.col("cls")) if roots is None else ends.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    ends = classes.select("cls", "first").join(held(components(links)).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = ends.groupBy("component").agg(F.min("first").alias("first"))
     ends = ends.select("cls", "component").join(first, "component").select("cls", F.col("first.id").alias("class_id"), F.col("first.mark").alias("class_mark"))
     out = member.join(ends, "cls").select("id", "mark", "class_id", (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))).alias("kept"))
