@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Text handed to Python code at once; keeps a worker's memory bounded.
 BLOCK_CHARS = 4_000_000
 #: Pretokens remembered by a worker before its cache starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import BLOCK_CHARS
-
+#: Code points hashed at once; keeps a worker's memory low.
+RUN = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
@@ -56,10 +56,10 @@ def _runs(codes: np.ndarray, kind: str):
     """Cuts a long run of code points between words."""
     start, table = 0, _table(kind)
     while start < len(codes):
-        end = min(len(codes), start + BLOCK_CHARS)
+        end = min(len(codes), start + RUN)
         while end < len(codes) and table[codes[end]]:
-            gap = np.flatnonzero(~table[codes[end : end + BLOCK_CHARS]])
-            end += int(gap[0]) if len(gap) else min(BLOCK_CHARS, len(codes) - end)
+            gap = np.flatnonzero(~table[codes[end : end + RUN]])
+            end += int(gap[0]) if len(gap) else min(RUN, len(codes) - end)
         yield start, codes[start:end]
         start = end
 

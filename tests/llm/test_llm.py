@@ -454,7 +454,7 @@ def test_words_in_runs(monkeypatch, hostile):
     """Texts longer than a run are cut between words, so that nothing changes."""
     for kind in ("letters", "blanks"):
         whole = words.word_hashes([*hostile, None], kind)
-        monkeypatch.setattr(words, "BLOCK_CHARS", 37)
+        monkeypatch.setattr(words, "RUN", 37)
         cut = words.word_hashes([*hostile, None], kind)
         monkeypatch.undo()
         assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
