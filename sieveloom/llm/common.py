@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text handed to Python code at once; keeps a worker's memory bounded.
 BLOCK_CHARS = 4_000_000
+#: Rows in a batch for Python code.
+BATCH_ROWS = 1000
 #: Pretokens remembered by a worker before its cache starts afresh.
 CACHE_WORDS = 250_000
 
@@ -29,8 +31,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sieveloom/{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python code BATCH_ROWS rows at a time, unless the session has a number of its own: Arrow's buffers of whole texts stand outside the heap."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once into the shared folder and read from there: survives lost executors and cuts lineage."""
+    small_batches(df.sparkSession)
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, components, forget, table, written
+from .common import blocks, components, forget, small_batches, table, written
 from .words import mixed, runs_of, word_hashes
 
 SHINGLE, LEAST = 5, 0.8
@@ -272,6 +272,7 @@ def _together(links: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """(id, mark, class_id, kept) of every row of docs; mark tells texts of one id apart. Written; all else that was written on the way is dropped."""
     spark, parts = docs.sparkSession, []
+    small_batches(spark)
 
     def held(df: DataFrame) -> DataFrame:
         parts.append(written(df))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import SPACED, byte_letters
-from .common import blocks, table
+from .common import blocks, small_batches, table
 
 #: Examples that wait in a task before sequences are filled, and after.
 WAITING, LEFT = 1024, 256
@@ -175,6 +175,7 @@ def pack(df: DataFrame, path: str, limits: Limits = Limits(), key: str = "doc_id
     With `loss`, a column of spans that bear loss, array<struct<start, length>> in code points of the text from 1, also
     loss_mask (a byte for each id) and loss_tokens. The end id bears loss where the text's last token does.
     """
+    small_batches(df.sparkSession)
     source = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"), *([F.col(loss).cast("array<struct<start: long, length: long>>").alias("spans")] if loss else []))
     schema = f"{key} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long" + (", loss_mask binary, loss_tokens long" if loss else "")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Neighbouring, merge
-from .common import Remembered, blocks, table
+from .common import Remembered, blocks, small_batches, table
 
 SPACE = "▁"
 _loaded: dict[str, "Pieces"] = {}
@@ -225,6 +225,7 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
 
 def encode_pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids, bounds, decoded): ids array<int>, bounds array<int> of len(ids) + 1 source byte offsets (piece k is bytes bounds[k] to bounds[k + 1]), decoded the text that the ids give back."""
+    small_batches(df.sparkSession)
     source = df.select(F.col(key), F.col(text).cast("string").alias("text"))
     schema = source.select(key).schema.add("ids", T.ArrayType(T.IntegerType())).add("bounds", T.ArrayType(T.IntegerType())).add("decoded", "string")
 

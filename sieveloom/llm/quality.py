@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Remembered, table
+from .common import Remembered, small_batches, table
 from .labelled import fold, sample
 
 #: Labelled rows of each label that the classifier is fitted on, at most.
@@ -126,6 +126,7 @@ def fit_quality(labelled: DataFrame, label: str = "quality", text: str = "text")
 
 def quality_score(model: Neighbours | None, spark: SparkSession, text: str | Column = "text") -> Column:
     """Column of scores from 0 to 1."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf("double")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PLAIN, Neighbouring, byte_letters, splitter
-from .common import Remembered, blocks, table
+from .common import Remembered, blocks, small_batches, table
 
 _END = "</w>"
 _loaded: dict[str, "PrefixCounter"] = {}
@@ -140,6 +140,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", budget: int = 204
     """
     own = ("n_bytes", "n_tokens", "over_limit", "kept_words", "kept_tokens", "prefix_tokens")
     rest = [c for c in df.columns if c not in own and c != text]
+    small_batches(df.sparkSession)
     source = df.select(F.struct(*rest).alias("row") if rest else F.lit(None).cast("string").alias("row"), F.col(text).cast("string").alias("text"))
     schema = source.select("row").schema.add("n_bytes", "long").add("prefix_tokens", T.ArrayType(T.LongType()))
 

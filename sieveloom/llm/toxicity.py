@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Remembered, table, written
+from .common import Remembered, small_batches, table, written
 from .labelled import fold, sample
 
 #: Labelled rows that the lexicon is learned from, at most.
@@ -238,6 +238,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 
 def toxicity_score(machine: Grammar, spark: SparkSession, text: str | Column = "text") -> Column:
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(machine)
 
     @pandas_udf("double")
