@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space that a strip takes off.
-SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE = "".join(map(chr, [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def counted(text: str) -> str:
@@ -39,11 +39,11 @@ class Dialect:
         """The character as a literal."""
         return f"'{chr(code)}'"
 
-    def strip(self, x: str) -> str:
-        return self.rep(x, f"^{SPACE}+|{SPACE}+$", "")
-
 
 class Spark(Dialect):
+    def strip(self, x: str) -> str:
+        return f"btrim({x}, '{SPACE}')"
+
     def match(self, x: str, pattern: str) -> str:
         return f"({x} rlike r'{pattern}')"
 
@@ -124,6 +124,9 @@ class Spark(Dialect):
 
 
 class Duck(Dialect):
+    def strip(self, x: str) -> str:
+        return f"trim({x}, '{SPACE}')"
+
     def match(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, '{pattern}')"
 
@@ -212,14 +215,26 @@ def apply(op: Callable[[Dialect], str], spark: SparkSession, **frames: DataFrame
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once into the folder that the cluster shares, for plans that read it several times."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/sieveloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Plan:
-    """An operator with its inputs: tables by name, or other plans."""
+    """An operator with its inputs: tables by name, or other plans. One that is `kept` is stored before others read it."""
 
-    def __init__(self, op: Callable[[Dialect], str], **inputs: "str | Plan"):
-        self.op, self.inputs = op, inputs
+    def __init__(self, op: Callable[[Dialect], str], kept: bool = False, **inputs: "str | Plan"):
+        self.op, self.kept, self.inputs = op, kept, inputs
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return apply(self.op, spark, **{k: spark.read.parquet(f"{sf_dir}/{v}.parquet") if isinstance(v, str) else v.spark(spark, sf_dir) for k, v in self.inputs.items()})
+        out = apply(self.op, spark, **{k: spark.read.parquet(f"{sf_dir}/{v}.parquet") if isinstance(v, str) else v.spark(spark, sf_dir) for k, v in self.inputs.items()})
+        return stored(out) if self.kept else out
 
     def duck(self) -> str:
         text = counted(self.op(DUCK))

@@ -143,4 +143,4 @@ def mixed_lines(d: Dialect) -> str:
     return "select doc_id * 4 as doc_id, line_no, text from @a union all select doc_id * 4 + 1, line_no, text from @b union all select doc_id * 4 + 2, line_no, text from @c union all select doc_id * 4 + 3, line_no, text from @d"
 
 
-MIXED = Plan(mixed_lines, a=CLASSIC, b=ABC, c=BLOCKS, d=GIFT)
+MIXED = Plan(mixed_lines, kept=True, a=CLASSIC, b=ABC, c=BLOCKS, d=GIFT)
