@@ -3,20 +3,20 @@
 For vectors of length one, cosine >= c means a squared distance of at most 2 - 2c. A fixed random
 rotation spreads that distance over the axes; the rotated vector is split into blocks of BLOCK axes,
 and by the pigeonhole principle two near vectors are near in at least one block: within the block's
-share of the squared distance, in proportion to its axes. Each block is range-joined by itself: its
-first two axes make a grid of cells as wide as the block's radius, so partners are in the same or an
-adjacent cell; of these, pairs within the block's share are its candidates. The union of the blocks' candidates is verified
-exactly, in double precision, and a pair counts in the first block that proposes it. Vectors are scaled by a power of two
-first, so that no length over- or underflows.
-
-What the grid keeps depends on the vectors: those spread evenly over all axes are mostly adjacent in two axes of any
-block, so that the tiles are compared with nearly all others (by one product of matrices each), and only the block's
-whole distance tells them apart. candidates() counts what is left to verify.
+share of the squared distance, in proportion to its axes. Pairs within a block's share are its candidates;
+the union of the blocks' candidates is verified exactly, in double precision, each pair once.
 
 Equal vectors of a label are one class that carries its number of members, so a group of copies of
-any size is one row. Cells are cut into tiles of about TILE rows, and tasks take pairs of tiles: no
-task holds more than two tiles, and no pairs leave it, only counts of links and a spanning forest of
-them. Components then come from the forests.
+any size is one row. The classes of a label are cut into tiles of at most TILE rows and TILE_BYTES, along the axes on
+which they spread most, and a tile is one packed row with its box. Each pair of a label's tiles is range-joined block by block:
+a block in which the boxes lie further apart than its share is passed over, else one product of matrices gives its candidates.
+
+No vector is copied for the pairs it takes part in: tiles are written once, and Spark's Cartesian product of that table with itself
+reads them from there, a task for each pair of its partitions, without an exchange. So disk follows the input, whatever the number of pairs.
+Labels of no more than TILE classes go to tasks whole, many of them to one. What leaves a task are counts of links and a spanning forest of them; components come from the forests.
+
+What the boxes keep apart depends on the vectors: those spread evenly over all axes are near one another in two axes or ten, so
+each tile is compared with all others of its label, and only the block's whole distance tells vectors apart. candidates() counts what is left to verify.
 
 Cases: vectors with a null label, null, empty, zero or with null or non-finite components link with
 nothing; vectors of different lengths link with nothing; repeated rows are vectors of their own and
@@ -26,19 +26,28 @@ link with each other, as do those that share an id; a null id is an id like othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, forget, table, written
 
-BLOCK, TILE, SEED = 16, 1024, 11
+BLOCK, TILE, SEED = 16, 2048, 11
+#: Bytes of a tile in double precision, and rows from which a task cuts its tiles.
+TILE_BYTES, RUN = 1 << 20, 32768
+#: Pairs of tiles in a batch for Python code, and small labels' classes in a task.
+PAIRS, GROUP = 8, 20_000
 #: Slack on distances, against rounding in the rotation; candidates are verified exactly.
 SLACK = 1e-6
+#: Links held by a task before they are summed, and candidates verified at once.
+HELD, AT_ONCE = 1_000_000, 32768
 
 
+@lru_cache(4)
 def rotation(n: int) -> np.ndarray:
     """A fixed random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, n)))
@@ -59,139 +68,233 @@ def scaled(rows: np.ndarray) -> np.ndarray:
     return np.ldexp(np.ldexp(rows, shift // 2), shift - shift // 2)
 
 
-def turned(rows: np.ndarray) -> np.ndarray:
-    """Scaled rows at length one, rotated. Each row by itself, so that a vector has the same axes in every task."""
-    return np.einsum("ij,kj->ik", rows / np.linalg.norm(rows, axis=1, keepdims=True), rotation(rows.shape[1]))
+class Tile:
+    """Classes of one label and length: their keys, numbers of members, scaled vectors, lengths and rotated axes."""
 
+    def __init__(self, cls: np.ndarray, n: np.ndarray, vectors: np.ndarray):
+        self.cls, self.n = cls, n
+        self.raw = scaled(vectors.astype(np.float64))
+        self.size = np.linalg.norm(self.raw, axis=1)
+        self.axes = (self.raw / self.size[:, None]) @ rotation(vectors.shape[1]).T
 
-def cells(classes: DataFrame, least: float) -> DataFrame:
-    """(cls, label, vector, n, block, x, y): the cell of each class in each block."""
 
-    def run(batches):
-        for batch in batches:
-            vectors, rows, blocks, xs, ys = batch.column(2), [], [], [], []
-            sizes = np.diff(np.asarray(vectors.offsets))
-            for m in np.unique(sizes).tolist():
-                of = np.flatnonzero(sizes == m)
-                r = turned(scaled(np.stack([np.asarray(vectors[k].values, dtype=np.float64) for k in of.tolist()])))
-                for j, (a, b) in enumerate(_blocks(m)):
-                    width = np.sqrt(_budget(m, a, b, least))
-                    rows.append(of)
-                    blocks.append(np.full(len(of), j))
-                    xs.append(np.floor(r[:, a] / width))
-                    ys.append(np.floor(r[:, a + 1] / width) if b - a > 1 else np.zeros(len(of)))
-            if rows:
-                at = pa.array(np.concatenate(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), *(pa.array(np.concatenate(v).astype(np.int32), pa.int32()) for v in (blocks, xs, ys))], ["cls", "label", "vector", "n", "block", "x", "y"])
-
-    return classes.select("cls", "label", "vector", "n").mapInArrow(run, "cls long, label string, vector array<double>, n long, block int, x int, y int")
-
-
-def proposals(left: np.ndarray, right: np.ndarray, a: int, b: int, budget: float):
-    """Places (i, j), run by run, of rotated rows whose distance in axes a to b may be within the budget.
+def proposals(x: Tile, y: Tile, same: bool, blocks: list[tuple[int, int]], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), run by run, of vectors whose distance may be within the share of one of the blocks.
 
     One product tells: |x - y|^2 <= budget is x.y - |x|^2 / 2 - |y|^2 / 2 >= -budget / 2. Single precision with slack; the caller decides.
     """
-    x, y = left[:, a:b].astype(np.float32), right[:, a:b].astype(np.float32)
+    m, sides = x.axes.shape[1], []
     half = lambda v: (v.astype(np.float64) ** 2).sum(1, keepdims=True).astype(np.float32) / 2
-    x = np.hstack([x, -half(x), np.ones((len(x), 1), np.float32)])
-    y = np.hstack([y, np.ones((len(y), 1), np.float32), -half(y)])
-    for s in range(0, len(x), 256):
-        i, j = np.nonzero(x[s : s + 256] @ y.T >= -budget / 2 - 1e-5)
-        if len(i):
-            yield i + s, j
+    for a, b in blocks:
+        p, q = x.axes[:, a:b].astype(np.float32), y.axes[:, a:b].astype(np.float32)
+        sides.append((np.hstack([p, -half(p), np.ones((len(p), 1), np.float32)]), np.hstack([q, np.ones((len(q), 1), np.float32), -half(q)]), -_budget(m, a, b, least) / 2 - 1e-5))
+    step = max(1, (1 << 18) // len(y.axes))
+    for s in range(0, len(x.axes), step):
+        first = s if same else 0
+        near = [p[s : s + step] @ q[first:].T >= limit for p, q, limit in sides]
+        near = [np.flatnonzero(found) for found in near if found.any()]
+        if near:
+            i, j = np.divmod(near[0] if len(near) == 1 else np.unique(np.concatenate(near)), len(y.axes) - first)
+            if same:
+                i, j = i[i < j], j[i < j]
+            yield i + s, j + first
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (a, b): each node but the least of its component, and that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, parent = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        p, q = parent[i], parent[j]
+        apart = p != q
+        if not apart.any():
+            break
+        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+        np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+        while (parent != (above := parent[parent])).any():
+            parent = above
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[parent[moved]]
+
+
+class Found:
+    """What a task has found: links of each class, a forest of the links, and how many pairs were verified."""
+
+    def __init__(self, least: float):
+        self.least, self.tried, self.held = least, 0, 0
+        self.links, self.edges = [], []
+
+    def compare(self, x: Tile, y: Tile, same: bool, boxes: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        m = x.axes.shape[1]
+        blocks = _blocks(m)
+        if boxes is not None:
+            gap = np.maximum(0, np.maximum(boxes[0][0] - boxes[1][1], boxes[1][0] - boxes[0][1])) ** 2
+            blocks = [(a, b) for a, b in blocks if gap[a:b].sum() <= _budget(m, a, b, self.least)]
+        for left, right in proposals(x, y, same, blocks, self.least):
+            for s in range(0, len(left), AT_ONCE):
+                i, j = left[s : s + AT_ONCE], right[s : s + AT_ONCE]
+                self.tried += len(i)
+                exact = np.einsum("ij,ij->i", x.raw[i], y.raw[j]) / (x.size[i] * y.size[j]) >= self.least
+                i, j = i[exact], j[exact]
+                if len(i):
+                    self.links += [(x.cls[i], y.n[j]), (y.cls[j], x.n[i])]
+                    self.edges.append((x.cls[i], y.cls[j]))
+                    self.held += len(i)
+                    if self.held >= HELD:
+                        self.settle()
+
+    def settle(self) -> None:
+        if self.links:
+            cls, at = np.unique(np.concatenate([c for c, _ in self.links]), return_inverse=True)
+            links = np.zeros(len(cls), dtype=np.int64)
+            np.add.at(links, at, np.concatenate([n for _, n in self.links]))
+            self.links = [(cls, links)]
+            self.edges = [forest(*(np.concatenate(x) for x in zip(*self.edges, strict=True)))]
+            self.held = 0
+
+    def rows(self) -> pa.RecordBatch:
+        """(a, null, links of a), links of the forest (a, b, null), and (null, null, pairs verified)."""
+        self.settle()
+        cls, links = self.links[0] if self.links else ([], [])
+        a, b = self.edges[0] if self.edges else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array([*cls, *a, None], pa.int64()), pa.array([*[None] * len(cls), *b, None], pa.int64()), pa.array([*links, *[None] * len(a), self.tried], pa.int64())], ["a", "b", "links"])
+
+
+_FOUND = "a long, b long, links long"
+
+
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _by_label(t: pa.Table) -> Iterator[tuple[str, int, pa.Table]]:
+    """The rows of each label and length."""
+    t = t.combine_chunks().sort_by([("label", "ascending"), ("size", "ascending")])
+    codes, size = t["label"].combine_chunks().dictionary_encode().indices.to_numpy(), t["size"].to_numpy()
+    cuts = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(size) != 0)) + 1).tolist(), t.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield t["label"][a].as_py(), int(size[a]), t.slice(a, b - a)
+
+
+def _tiled(rows: pa.Table, size: int) -> Tile:
+    return Tile(rows["cls"].to_numpy(), rows["n"].to_numpy(), _matrix(rows["vector"].combine_chunks(), size))
+
+
+def _within(least: float):
+    """Labels of few classes, each with itself."""
 
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, parts = Found(least), [b for b in batches if b.num_rows]
+        for _, size, rows in _by_label(pa.Table.from_batches(parts)) if parts else ():
+            t = _tiled(rows, size)
+            found.compare(t, t, True)
+        yield found.rows()
 
-def _joined(least: float):
-    """Of a pair of tiles: each class's links and the forest of the links; and how many pairs were verified."""
+    return run
+
+
+def _halves(axes: np.ndarray, at: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The places `at` in runs of at most `most`, cut in the middle of the axis on which they spread most."""
+    if len(at) <= most:
+        yield at
+        return
+    widest = axes[at, np.argmax(axes[at].var(axis=0))]
+    order, middle = at[np.argsort(widest, kind="stable")], len(at) // 2
+    yield from _halves(axes, order[:middle], most)
+    yield from _halves(axes, order[middle:], most)
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not parts:
-            yield pa.RecordBatch.from_pydict({"a": [], "b": [], "links": []}, schema=_SCHEMA)
-            return
-        t = pa.concat_tables(parts).combine_chunks()
-        home = np.asarray(t["home"])
-        cls, n = np.asarray(t["cls"]), np.asarray(t["n"])
-        values = t["vector"].combine_chunks()
-        raw = scaled(np.asarray(values.flatten(), dtype=np.float64).reshape(len(cls), -1))
-        m, size, axes = raw.shape[1], np.linalg.norm(raw, axis=1), turned(raw)
-        block, same = key[1].as_py(), not home.min() < home.max() and bool(np.asarray(t["same"])[0])
-        left, right = (np.arange(len(cls)), np.arange(len(cls))) if same else (np.flatnonzero(home), np.flatnonzero(~home))
-        links, edges, tried = np.zeros(len(cls), dtype=np.int64), [], 0
-        parent = np.arange(len(cls))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        def within(i, j, k):
-            a, b = _blocks(m)[k]
-            return ((axes[i, a:b] - axes[j, a:b]) ** 2).sum(1) <= _budget(m, a, b, least)
-
-        for i, j in proposals(axes[left], axes[right], *_blocks(m)[block], _budget(m, *_blocks(m)[block], least)):
-            i, j = left[i], right[j]
-            if same:
-                i, j = i[i < j], j[i < j]
-            for k in range(block + 1):  # the same sums in every task, so one block takes a pair
-                mine = within(i, j, k) == (k == block)
-                i, j = i[mine], j[mine]
-            tried += len(i)
-            exact = np.einsum("ij,ij->i", raw[i], raw[j]) / (size[i] * size[j]) >= least
-            i, j = i[exact], j[exact]
-            np.add.at(links, i, n[j])
-            np.add.at(links, j, n[i])
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = root(a), root(b)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    edges.append((int(cls[a]), int(cls[b])))
-        some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array([*cls[some].tolist(), *(a for a, _ in edges), None], pa.int64()), pa.array([*([None] * len(some)), *(b for _, b in edges), None], pa.int64()), pa.array([*links[some].tolist(), *([None] * len(edges)), tried], pa.int64())], ["a", "b", "links"])
+
+_TILES = "label string, size int, tile long, cls binary, n binary, vectors binary, box binary"
+
+
+def _tiles(tile: int):
+    """A row for a tile; labels come one after another, and tiles are cut from runs of RUN rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, number = [], 0, TaskContext.get().partitionId() << 32
+
+        def cut():
+            nonlocal number
+            for label, size, rows in _by_label(pa.Table.from_batches(held)):
+                t, vectors = _tiled(rows, size), _matrix(rows["vector"].combine_chunks(), size)
+                for at in _halves(t.axes, np.arange(len(t.cls)), max(1, min(tile, TILE_BYTES // (8 * size)))):
+                    box = np.stack([t.axes[at].min(axis=0), t.axes[at].max(axis=0)])
+                    cells = [pa.array([x.tobytes()], pa.binary()) for x in (t.cls[at], t.n[at], vectors[at], box)]
+                    yield pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([size], pa.int32()), pa.array([number], pa.int64()), *cells], ["label", "size", "tile", "cls", "n", "vectors", "box"])
+                    number += 1
+
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= RUN:
+                yield from cut()
+                held, count = [], 0
+        if count:
+            yield from cut()
 
     return run
 
 
-_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+def _joined(least: float, kind: str):
+    """Pairs of tiles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, last = Found(least), (None, None)
+        for batch in batches:
+            for r in batch.to_pylist():
+                read = lambda side: Tile(np.frombuffer(r[f"{side}cls"], np.int64), np.frombuffer(r[f"{side}n"], np.int64), np.frombuffer(r[f"{side}vectors"], kind).reshape(-1, r["size"]))  # noqa: B023, E731
+                boxes = tuple(np.frombuffer(r[f"{side}box"], np.float64).reshape(2, -1) for side in ("", "o_"))
+                if r["tile"] != last[0]:
+                    last = r["tile"], read("")
+                found.compare(last[1], last[1] if r["tile"] == r["o_tile"] else read("o_"), r["tile"] == r["o_tile"], boxes)
+        yield found.rows()
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """Copies: rows of one label and vector. Vectors group as they are; cls is a 64-bit key of the class."""
-    return rows.where("fine").groupBy("label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("cls", F.xxhash64("label", "vector"))
+    return run
 
 
 def _rows(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    rows = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    """(id, label, vector, fine, cls, check): cls and check are 64-bit keys of label and vector. Vectors in single precision stay so until they are compared."""
+    kind = "array<float>" if df.select(F.col(vector)).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(kind).alias("vector"))
     sound = F.col("label").isNotNull() & F.expr("vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) <> double('infinity')) and exists(vector, x -> x <> 0)")
     rows = rows.withColumn("fine", F.coalesce(sound, F.lit(False)))
-    rows = rows.withColumn("vector", F.when(F.col("fine"), F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))))  # -0.0 equals 0.0
-    return rows
+    zero = F.lit(0.0).cast(kind[6:-1])
+    rows = rows.withColumn("vector", F.when(F.col("fine"), F.transform("vector", lambda x: F.when(x == 0, zero).otherwise(x))))  # -0.0 equals 0.0
+    return rows.withColumn("cls", F.xxhash64("label", "vector")).withColumn("check", F.xxhash64(F.lit(SEED), "vector", "label"))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """Copies: rows of one label and vector. Vectors group as they are."""
+    return rows.where("fine").groupBy("label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min("cls").alias("cls"), F.min("check").alias("check"))
 
 
-def _found(classes: DataFrame, least: float) -> DataFrame:
+def _found(classes: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """Rows (a, null, links of a), links of the forest (a, b, null), and (null, null, pairs verified); written."""
-    placed = written(cells(classes, least).withColumn("dim", F.size("vector")))
-    tiles = placed.groupBy("label", "dim", "block", "x", "y").agg(F.count("*").alias("rows")).withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int")).drop("rows")
-    at = ["label", "dim", "block", "x", "y"]
-    home = placed.join(tiles, at).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    home = written(home)
-    # A pair of cells is named by the one that comes first; the other visits it.
-    steps = "array(named_struct('dx', 0, 'dy', 0), named_struct('dx', 0, 'dy', 1), named_struct('dx', 1, 'dy', -1), named_struct('dx', 1, 'dy', 0), named_struct('dx', 1, 'dy', 1))"
-    pairs = tiles.selectExpr(*at, "tiles", f"inline({steps})").alias("p")
-    others = tiles.select(*(F.col(c).alias(f"o_{c}") for c in at), F.col("tiles").alias("o_tiles"))
-    cond = " and ".join([*(f"{c} = o_{c}" for c in at[:3]), "x + dx = o_x", "y + dy = o_y"])
-    pairs = pairs.join(others, F.expr(cond))
-    pairs = pairs.selectExpr("*", "explode(sequence(0, tiles - 1)) as s").selectExpr("*", "explode(sequence(if(dx = 0 and dy = 0, s, 0), o_tiles - 1)) as t")
-    pairs = pairs.selectExpr(*at, "o_x", "o_y", "s", "t", "dx = 0 and dy = 0 and s = t as same", "concat_ws('/', label, dim, x, y, dx, dy, s, t) as name")
-    first = pairs.selectExpr(*at, "s as tile", "name", "same", "true as home")
-    second = pairs.where("not same").selectExpr(*at[:3], "o_x as x", "o_y as y", "t as tile", "name", "same", "false as home")
-    dealt = home.join(first.unionByName(second), [*at, "tile"]).select("name", "block", "cls", "vector", "n", "same", "home")
-    found = written(dealt.groupBy("name", "block").applyInArrow(_joined(least), "a long, b long, links long"))
-    forget(placed)
-    forget(home)
-    return found
+    spark = classes.sparkSession
+    vectors = classes.select("label", F.size("vector").alias("size"), "cls", "n", "vector")
+    large = written(vectors.groupBy("label", "size").count().where(F.col("count") > tile).select("label", "size"))
+    small = vectors.join(large, ["label", "size"], "left_anti")
+    tasks = max(64, small.count() // GROUP)
+    small = written(small.groupBy(F.pmod(F.xxhash64("label", "size"), F.lit(tasks)).alias("task")).applyInArrow(_within(least), _FOUND))
+    if large.isEmpty():
+        return small
+    tiles = vectors.join(large, ["label", "size"], "left_semi").repartitionByRange("label", "size", "cls").mapInArrow(_tiles(tile), _TILES)
+    tiles = written(tiles)
+    kind = "f4" if "float" in vectors.schema["vector"].dataType.simpleString() else "f8"
+    others = tiles.select(*(F.col(c).alias(f"o_{c}") for c in tiles.columns))
+    # Of the two orders of a pair of tiles one is taken, by turns.
+    cond = "label = o_label and size = o_size and (tile = o_tile or (tile < o_tile) = ((tile + o_tile) % 2 = 0))"
+    pairs = tiles.hint("shuffle_replicate_nl").join(others, F.expr(cond)).drop("o_label", "o_size")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PAIRS)  # each row is two tiles
+    try:
+        large = written(pairs.mapInArrow(_joined(least, kind), _FOUND))
+    finally:
+        spark.conf.set(name, before)
+    forget(tiles)
+    return small.unionByName(large)
 
 
 def candidates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> int:
@@ -200,18 +303,19 @@ def candidates(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector:
     return found.where("a is null").agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
 
 
-def near_vectors(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", tile: int = TILE) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
     rows = _rows(df, key, vector, label)
     classes = written(_classes(rows))
-    found = _found(classes, least)
+    found = _found(classes, least, tile)
     links = found.where("a is not null and links is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     parts = components(found.where("b is not null").select("a", "b"))
-    classes = classes.join(links, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left")
-    classes = written(classes.select("label", "vector", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")))
-    least_id = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = classes.join(least_id, "component").select("label", "vector", "n_links", "component_id")
-    out = rows.where("fine").join(classes, ["label", "vector"]).select("id", "n_links", "component_id")
+    joined = classes.select("cls", "check", "first", "n").join(links, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left")
+    joined = written(joined.select("cls", "check", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")))
+    forget(classes)
+    least_id = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+    ends = joined.join(least_id, "component").select("cls", "check", "n_links", "component_id")
+    out = rows.where("fine").select("id", "cls", "check").join(ends, ["cls", "check"]).select("id", "n_links", "component_id")
     out = out.unionByName(rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

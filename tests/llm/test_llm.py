@@ -294,6 +294,41 @@ def test_vectors_of_any_length(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got if r.vec_id is None or r.vec_id >= 50) == [(0, 1, 50), (50, 1, 50), (50, 1, 50), (51, 1, 50)]
 
 
+def test_vectors_in_tiles(spark):
+    """Labels of many tiles, in single and double precision, tight and spread: as by brute force."""
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.standard_normal((260, 40)), rng.standard_normal(40) + 0.12 * rng.standard_normal((240, 40))]).astype(np.float32)
+    v[200:260] = v[:60] + 0.2 * rng.standard_normal((60, 40)).astype(np.float32)
+    v[250] = v[3]
+    label = np.arange(500) % 7 // 3
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    root = np.arange(500)
+    while ((new := np.minimum(root, np.where(link, root, 500).min(axis=1))) != root).any():
+        root = new
+    assert 100 < link.sum() < 0.9 * link.size / 4
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(k, [float(x) for x in r], int(label[k])) for k, r in enumerate(v)], f"vec_id long, embedding array<{kind}>, label int")
+        got = {r.vec_id: r for r in near_vectors(df, tile=30).collect()}
+        assert [got[k].n_links for k in range(500)] == link.sum(axis=1).tolist()
+        assert [got[k].component_id for k in range(500)] == root.tolist()
+
+
+def test_vectors_on_disk(spark, tmp_path):
+    """Vectors aren't copied for the pairs of tiles they take part in: what exchanges write follows the input."""
+    rng = np.random.default_rng(6)
+    sent = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    written = []
+    for n in (1000, 4000):
+        df = spark.createDataFrame([(k, r, 1) for k, r in enumerate(rng.standard_normal((n, 64)).tolist())], "vec_id long, embedding array<float>, label int")
+        df.write.parquet(f"{tmp_path}/{n}")
+        before = sent()
+        near_vectors(spark.read.parquet(f"{tmp_path}/{n}")).count()
+        written.append(sent() - before)
+    assert written[1] < 4 * 4000 * 64 * 4
+
+
 def test_vector_candidates(spark):
     """Few pairs are verified beyond the links."""
     vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
