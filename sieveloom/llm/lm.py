@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table, written
+from .common import table, written
 from .words import mixed, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
 #: Characters of a block.
 BLOCK_SIZE = 6_000_000
+#: Compression of a block's texts, which are stored once and read twice.
+TEXT_LEVEL = 9
 
 
 def _packed(array: np.ndarray) -> bytes:
@@ -58,34 +60,54 @@ def _binary(*parts: bytes) -> list[pa.Array]:
     return [pa.array([x], pa.binary()) for x in parts]
 
 
-_BLOCK = "block long, keys array<long>, sizes binary, vocabulary binary, words binary"
+_BLOCK = "block long, keys array<long>, lengths binary, texts binary"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of documents in runs of at most BLOCK_SIZE characters, over the ends of batches; a longer text is a run of its own."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            text = text or ""
+            if keys and held + len(text) > BLOCK_SIZE:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            held += len(text)
+    if keys:
+        yield keys, texts
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Blocks: the keys of their documents, and packed: words of each document, hashes of the block's words by frequency, and each word's place there."""
+    """Blocks: the keys of their documents, and packed: the length of each text, and the texts. Their words are hashed where they are needed, as hashes don't compress."""
 
     def run(batches):
-        part, k = TaskContext.get().partitionId(), 0
-        for keys, texts in (x for batch in batches for x in blocks([batch], 1, BLOCK_SIZE)):
-            hashes, sizes = word_hashes(texts, "blanks")
-            vocabulary, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")  # frequent words have small numbers
-            rank = np.empty(len(order), dtype=np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([keys], pa.list_(pa.int64())), *_binary(_packed(sizes), vocabulary[order].tobytes(), _packed(rank[at]))], ["block", "keys", "sizes", "vocabulary", "words"])
-            k += 1
+        import zstandard
+
+        part = TaskContext.get().partitionId()
+        for k, (keys, texts) in enumerate(_runs(batches)):
+            whole = zstandard.ZstdCompressor(level=TEXT_LEVEL).compress("".join(texts).encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([keys], pa.list_(pa.int64())), *_binary(_packed(np.array([len(x) for x in texts])), whole)], ["block", "keys", "lengths", "texts"])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, _BLOCK)
 
 
+def _words(lengths: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block, and the number of words of each document."""
+    import zstandard
+
+    whole, ends = zstandard.ZstdDecompressor().decompress(texts).decode("utf-8", "surrogatepass"), np.cumsum(_unpacked(lengths, np.int64)).tolist()
+    return word_hashes([whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], "blanks")
+
+
 class Block:
     """N-grams of a block: their hashes at each place (order n where n - 1 words of the document stand before)."""
 
-    def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, order: int, hashed: int):
+    def __init__(self, lengths: bytes, texts: bytes, order: int, hashed: int):
         self.hashed = hashed
-        self.sizes = _unpacked(sizes, np.int64)
+        word, self.sizes = _words(lengths, texts)
         self.ends = np.cumsum(self.sizes)
-        word = np.frombuffer(vocabulary, np.uint64)[_unpacked(words, np.uint32)]
         self.document = np.repeat(np.arange(len(self.sizes), dtype=np.uint64), self.sizes)
         self.place = np.arange(len(word)) - np.repeat(self.ends - self.sizes, self.sizes)
         self.hashes = [word]
@@ -115,7 +137,7 @@ def _requests(bits: int, order: int, hashed: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row["sizes"], row["vocabulary"], row["words"], order, hashed)
+                b = Block(row["lengths"], row["texts"], order, hashed)
                 parts = np.arange(1 << bits, dtype=np.uint64)
                 tables = []
                 for n in range(1, order + 1):
@@ -166,7 +188,7 @@ def _scored(order: int, hashed: int, others: bool):
         if not left.num_rows:
             return pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "bases": pa.array([], pa.int64())})
         row = left.to_pylist()[0]
-        b = Block(row["sizes"], row["vocabulary"], row["words"], order, hashed)
+        b = Block(row["lengths"], row["texts"], order, hashed)
         replies = sorted(zip(right["part"].to_pylist(), right["totals"].to_pylist(), strict=True))
         score, history, base = np.full(len(b.place), math.log(BACKOFF)), None, np.ones(len(b.place), dtype=np.int64)
         for n in range(1, order + 1):

@@ -19,7 +19,7 @@ from sieveloom.llm.chat import read_back, windows
 from sieveloom.llm.common import components, table
 from sieveloom.llm.embeddings import candidates, near_vectors
 from sieveloom.llm.labelled import sample
-from sieveloom.llm.lm import backoff_scores
+from sieveloom.llm.lm import backoff_scores, exploded
 from sieveloom.llm.minhash import deduplicate, near_duplicates
 from sieveloom.llm.packing import Limits, Packer, encoding, pack
 from sieveloom.llm.pieces import CharacterMap, Pieces, encode_pieces
@@ -545,6 +545,17 @@ def test_backoff_orders(spark, order, others):
         assert n == len(w) and x == pytest.approx(sum(score(tuple(w[max(0, i - order + 1) : i + 1]), mine, rest) for i in range(len(w))))
 
 
+def test_backoff_blocks(spark):
+    """Documents of many batches share a block, which takes less room than the hashes of its words."""
+    rng = random.Random(8)
+    known = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(20_000)]
+    texts = {k: " ".join(rng.choices(known, k=100)) for k in range(5000)} | {5000: None, 5001: "é日\n😀 \ud7ff", 5002: ""}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    blocks = exploded(docs, "doc_id", "text").selectExpr("size(keys) as n", "octet_length(lengths) + octet_length(texts) as bytes").collect()
+    assert [b.n for b in blocks] == [5003] and blocks[0].bytes < 500_000 * 4
+
+
 @pytest.mark.parametrize("limits", [Limits(64, 3, 20), Limits(64, 8, 5)])
 def test_packer_loss_limit(limits):
     rng = random.Random(2)
